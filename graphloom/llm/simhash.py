@@ -83,7 +83,7 @@ def tile_links(left: np.ndarray, right: np.ndarray, radius: int, same: bool) ->
         near &= np.arange(len(a_low))[:, None] <= np.arange(len(b_low))[None, :]
     links = []
     for i, j in zip(*np.nonzero(near)):
-        rows, cols = slice(i * BLOCK, (i + 1) * BLOCK), slice(j * BLOCK, (j + 1) * BLOCK)
+        rows, cols = slice(i * BLOCK, min((i + 1) * BLOCK, len(a))), slice(j * BLOCK, min((j + 1) * BLOCK, len(b)))
         linked = np.bitwise_count(a[rows, None] ^ b[None, cols]) <= radius
         if not linked.any():
             continue
