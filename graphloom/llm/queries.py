@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, sharding, simhash, urlfilter, warc
+from . import chat, decontaminate, mixing, quality, repeats, sharding, simhash, urlfilter, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -32,6 +32,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_table(table(spark, sf_dir, "documents"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_formatting": op3,
         "op4_quality_rules": op4,
         "op5_url_filter": op5,
+        "op6_exact_repeats": op6,
         "op7_warc_zip": op7,
         "op8_source_mixing": op8,
         "op9_simhash_groups": op9,
