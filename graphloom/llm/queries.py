@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, repeats, sharding, simhash, urlfilter, warc
+from . import chat, decontaminate, linededup, mixing, quality, repeats, sharding, simhash, urlfilter, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_table(table(spark, sf_dir, "documents"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"), limit_bytes=SHARD_BYTES)
 
@@ -60,6 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1,
         "op2_extendible_sharding": op2,
         "op3_chat_formatting": op3,
         "op4_quality_rules": op4,
