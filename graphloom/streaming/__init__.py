@@ -1 +1 @@
-
+"""Left empty on purpose: the engine's model is a finished graph, without streams."""
