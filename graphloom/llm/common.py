@@ -22,6 +22,8 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null id where ids are compared as integers: no id is larger.
 NO_ID = np.iinfo(np.int64).max
+#: Bytes of documents that a task packs at a time.
+PACK_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,15 +85,51 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_batches(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> tuple[DataFrame, int]:
-    """``(batch, doc_id, text)`` and the number of batches.
+def in_batches(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> DataFrame:
+    """``(batch, packed)``: documents dealt to batches, read back by ``unpacked``.
 
     Batches hold about ``batch_bytes`` of text each, whatever the input size; a hash of
-    id and text deals them, so one hot source or group of copies does not fill one."""
+    id and text deals them, so one hot source or group of copies does not fill one. Texts
+    of a batch are packed and compressed together before they are shuffled."""
     total = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     n = max(partitions(docs.sparkSession), -(-int(total) // batch_bytes))
     batch = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int")
-    return docs.select(batch.alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), n
+    rows = docs.select(batch.alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks().sort_by("batch")
+            where = t["batch"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
+            blobs = []
+            for i, j in zip(cuts, cuts[1:]):
+                sink, part = pa.BufferOutputStream(), t.slice(i, j - i).select(["doc_id", "text"])
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(part.take(list(range(part.num_rows))))
+                blobs.append(sink.getvalue().to_pybytes())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["batch", "packed"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+                if size > PACK_BYTES:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(pack, "batch int, packed binary")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """``(doc_id, text)`` of a batch's rows."""
+    parts = [pa.ipc.open_stream(p).read_all() for p in table["packed"].to_pylist()]
+    return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
 
 
 # ---------------------------------------------------------------- components

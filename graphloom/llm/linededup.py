@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Forest, arrow_map, as_bytes, components, in_batches, partitions, written
+from .common import NO_ID, Forest, arrow_map, as_bytes, components, in_batches, partitions, unpacked, written
 
 SHINGLE, BINS, ROWS = 5, 120, 6
 BANDS = BINS // ROWS
@@ -112,7 +112,7 @@ def _distinct(texts: list[bytes]) -> dict[int, bytes]:
 
 def _batch_bands(table: pa.Table, parts: int) -> pa.Table:
     batch = table["batch"][0].as_py()
-    lines = [(i, s) for i, x in _distinct(as_bytes(table["text"])).items() if len(s := x.decode("utf-8", "replace")) >= SHINGLE]
+    lines = [(i, s) for i, x in _distinct(as_bytes(unpacked(table)["text"])).items() if len(s := x.decode("utf-8", "replace")) >= SHINGLE]
     ids = np.array([i for i, _ in lines], np.int64)
     keys, at = [], 0
     while at < len(lines):
@@ -181,7 +181,7 @@ def _requests(batch: pa.RecordBatch) -> pa.Table:
 def _answers(docs: pa.Table, asked: pa.Table) -> pa.Table:
     out: list[list] = [[], [], []]
     if docs.num_rows and asked.num_rows:
-        lines = _distinct(as_bytes(docs["text"]))
+        lines = _distinct(as_bytes(unpacked(docs)["text"]))
         for name, ids in zip(asked["name"].to_pylist(), asked["ids"].to_pylist()):
             for column, y in zip(out, (name, ids, [lines[i] for i in np.frombuffer(ids, np.int64).tolist()])):
                 column.append(y)
@@ -232,7 +232,7 @@ def _verified(table: pa.Table) -> pa.Table:
 
 def alike_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, batch_bytes: int = 16 << 20) -> DataFrame:
     """Verified links ``(a, b)`` between line ids that connect all alike lines found."""
-    batched, _ = in_batches(docs, id_col, text_col, batch_bytes)
+    batched = in_batches(docs, id_col, text_col, batch_bytes)
     parts = partitions(docs.sparkSession)
     bands = batched.groupBy("batch").applyInArrow(lambda t: _batch_bands(t, parts), "part int, batch int, keys binary, ids binary")
     sets = bands.groupBy("part").applyInArrow(lambda t: _buckets(t, tile), "name long, ids binary, batches binary")

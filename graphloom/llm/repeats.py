@@ -8,7 +8,8 @@ equal keys, so windows are dealt to shards by key, and neighbouring windows of o
 travel as one region of text. Keys that only one document has are dropped first (only
 hashes are shuffled for that), and equal regions of a batch of documents travel once,
 with the batch's smallest id. In a shard, regions whose key has a single text need no
-search; all others form the shard's text, its suffixes are sorted by external induction
+search, nor do regions without a window whose hash occurs twice; all others form the
+shard's text, its suffixes are sorted by external induction
 (``suffix.py``: disk-backed queues, recursion), and neighbours that share ``window`` bytes
 form the groups whose smallest id decides. Results go back to the batches that asked.
 
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix
-from .common import NO_ID, as_bytes, in_batches, partitions
+from .common import NO_ID, as_bytes, in_batches, partitions, unpacked
 
 GRAM = 16
 CHUNK = 1 << 20
+#: Bytes of regions that are sorted together; one key's regions are never parted.
+SHARD = 2 << 20
 #: Odd constants of the hash, and 64 random bits for each byte value.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BYTES = np.random.default_rng(6).integers(0, 1 << 64, 256, np.uint64)
@@ -93,7 +96,8 @@ def regions(texts: list[bytes], window: int):
 
 def _rows(table: pa.Table) -> tuple[list[int | None], np.ndarray, list[bytes]]:
     """A batch's ids, ids with null as the largest, and texts, in an order of their own."""
-    ids, texts = table["doc_id"].to_pylist(), as_bytes(table["text"])
+    rows = unpacked(table)
+    ids, texts = rows["doc_id"].to_pylist(), as_bytes(rows["text"])
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
     return [ids[i] for i in order], np.array([NO_ID if ids[i] is None else ids[i] for i in order], np.int64), [texts[i] for i in order]
 
@@ -178,11 +182,50 @@ def _send_regions(docs: pa.Table, wanted: pa.Table, window: int, parts: int) ->
             mine = order[cuts[p] : cuts[p + 1]]
             if len(mine):
                 own = [texts[i] for i in mine.tolist()]
-                for column, x in zip(rows, (p, batch, mine.astype(np.int32).tobytes(), keys[mine].tobytes(), np.array([len(t) for t in own], np.int32).tobytes(), least[mine].tobytes(), b"".join(own))):
+                for column, x in zip(rows, (p, batch, mine.astype(np.int32).tobytes(), keys[mine].tobytes(), np.array([len(t) for t in own], np.int32).tobytes(), least[mine].tobytes(), pa.compress(b"".join(own), "zstd", asbytes=True))):
                     column.append(x)
     return pa.table({n: pa.array(r, k) for n, k, r in zip(names, kinds, rows)})
 
 
+def shards(key: np.ndarray, texts: list[bytes], window: int):
+    """Numbers of the distinct regions to search, in shards of about ``SHARD`` bytes.
+
+    A key with one text is out, and so is a region without a window whose hash occurs in
+    another region of its key: neither has a window in common with others. Regions of one
+    key are in one shard, however large, since equal windows have equal keys."""
+    _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times[inverse] > 1)
+    some = some[np.argsort(key[some], kind="stable")]
+    at = 0
+    while at < len(some):
+        end, size = at, 0
+        while end < len(some) and (size <= SHARD or key[some[end]] == key[some[end - 1]]):
+            size += len(texts[some[end]])
+            end += 1
+        mine = some[at:end]
+        lengths = np.array([len(texts[i]) for i in mine.tolist()], np.int64)
+        data = np.frombuffer(b"".join([texts[i] for i in mine.tolist()]), np.uint8)
+        h, width = _BYTES[data], 1
+        while 2 * width <= window:
+            h = h[:-width] * _MIX[0] + h[width:]
+            h ^= h >> np.uint64(29)
+            width *= 2
+        if width < window:
+            h = h[: -(window - width)] * _MIX[1] + h[window - width :]
+        owner = np.repeat(np.arange(len(mine)), lengths)
+        ends = np.cumsum(lengths)
+        inside = np.arange(len(h)) + window <= ends[owner[: len(h)]]
+        h, owner = h[inside], owner[: len(inside)][inside]
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        twice = h[1:] == h[:-1]
+        found = np.zeros(len(mine), bool)
+        found[owner[1:][twice]] = found[owner[:-1][twice]] = True
+        if found.any():
+            yield mine[found]
+        at = end
+
+
 def smallest_ids(texts: list[bytes], least: np.ndarray, window: int) -> list[np.ndarray]:
     """For each window of each of these distinct texts the smallest id of the texts that
     hold it, by sorting the suffixes of all of them together."""
@@ -217,6 +260,7 @@ def _judge_regions(table: pa.Table, window: int) -> pa.Table:
     for batch, numbers, key, sizes, ids, texts in zip(*(table[c].to_pylist() for c in ("batch", "numbers", "keys", "sizes", "least", "texts"))):
         at, which = 0, []
         own = np.frombuffer(ids, np.int64)
+        texts = pa.decompress(texts, int(np.frombuffer(sizes, np.int32).sum(dtype=np.int64)), "zstd", asbytes=True)
         for size, k, d in zip(np.frombuffer(sizes, np.int32).tolist(), np.frombuffer(key, np.uint64).tolist(), own.tolist()):
             i = number.setdefault(texts[at : at + size], len(number))
             at += size
@@ -228,11 +272,9 @@ def _judge_regions(table: pa.Table, window: int) -> pa.Table:
             which.append(i)
         asked.append((batch, np.frombuffer(numbers, np.int32), own, np.array(which, np.int64)))
     key, low, texts = np.array(keys, np.uint64), np.array(least, np.int64), list(number)
-    _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(times[inverse] > 1)
     windows: dict[int, np.ndarray] = {}
-    if len(several):
-        windows = dict(zip(several.tolist(), smallest_ids([texts[i] for i in several.tolist()], low[several], window)))
+    for several in shards(key, texts, window):
+        windows.update(zip(several.tolist(), smallest_ids([texts[i] for i in several.tolist()], low[several], window)))
     out: list[list] = [[] for _ in range(4)]
     for batch, numbers, own, which in asked:
         region, cuts, ids = [], [], []
@@ -298,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     remaining bytes."""
     if window < GRAM:
         raise ValueError(f"windows have {GRAM} bytes at least")
-    batched, _ = in_batches(docs, id_col, text_col, batch_bytes)
+    batched = in_batches(docs, id_col, text_col, batch_bytes)
     parts = partitions(docs.sparkSession)
     by_batch = lambda df: df.groupBy("batch")
     keys = by_batch(batched).applyInArrow(lambda t: _batch_keys(t, window, parts), "part int, batch int, keys binary, many binary")
