@@ -188,11 +188,13 @@ def _send_regions(docs: pa.Table, wanted: pa.Table, window: int, parts: int) ->
 
 
 def shards(key: np.ndarray, texts: list[bytes], window: int):
-    """Numbers of the distinct regions to search, in shards of about ``SHARD`` bytes.
+    """Numbers of the distinct regions to search, and of each the first and last window to
+    search, in shards of about ``SHARD`` bytes.
 
     A key with one text is out, and so is a region without a window whose hash occurs in
-    another region of its key: neither has a window in common with others. Regions of one
-    key are in one shard, however large, since equal windows have equal keys."""
+    another region of its key: neither has a window in common with others. The ends of a
+    region whose windows occur once are left off. Regions of one key are in one shard,
+    however large, since equal windows have equal keys."""
     _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
     some = np.flatnonzero(times[inverse] > 1)
     some = some[np.argsort(key[some], kind="stable")]
@@ -215,14 +217,22 @@ def shards(key: np.ndarray, texts: list[bytes], window: int):
         owner = np.repeat(np.arange(len(mine)), lengths)
         ends = np.cumsum(lengths)
         inside = np.arange(len(h)) + window <= ends[owner[: len(h)]]
-        h, owner = h[inside], owner[: len(inside)][inside]
+        where = owner[: len(inside)][inside]
+        shared_place = np.flatnonzero(inside) - (ends - lengths)[where]
+        h = h[inside]
         order = np.argsort(h, kind="stable")
-        h, owner = h[order], owner[order]
-        twice = h[1:] == h[:-1]
-        found = np.zeros(len(mine), bool)
-        found[owner[1:][twice]] = found[owner[:-1][twice]] = True
-        if found.any():
-            yield mine[found]
+        h = h[order]
+        twice = np.concatenate([[False], h[1:] == h[:-1], [False]])
+        shared = order[twice[1:] | twice[:-1]]
+        which, place = where[shared], shared_place[shared]
+        low, high = np.full(len(mine), -1, np.int64), np.full(len(mine), -1, np.int64)
+        if len(which):
+            order = np.lexsort([place, which])
+            which, place = which[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+            low[which[first]], high[which[first]] = place[first], place[np.append(first[1:], len(which)) - 1]
+            found = np.flatnonzero(low >= 0)
+            yield mine[found], low[found], high[found]
         at = end
 
 
@@ -273,8 +283,20 @@ def _judge_regions(table: pa.Table, window: int) -> pa.Table:
         asked.append((batch, np.frombuffer(numbers, np.int32), own, np.array(which, np.int64)))
     key, low, texts = np.array(keys, np.uint64), np.array(least, np.int64), list(number)
     windows: dict[int, np.ndarray] = {}
-    for several in shards(key, texts, window):
-        windows.update(zip(several.tolist(), smallest_ids([texts[i] for i in several.tolist()], low[several], window)))
+    for several, begin, end in shards(key, texts, window):
+        parts: dict[bytes, int] = {}
+        lows: list[int] = []
+        of = []
+        for i, x, y in zip(several.tolist(), begin.tolist(), end.tolist()):
+            j = parts.setdefault(texts[i][x : y + window], len(parts))
+            if j == len(lows):
+                lows.append(least[i])
+            lows[j] = min(lows[j], least[i])
+            of.append(j)
+        best = smallest_ids(list(parts), np.array(lows, np.int64), window)
+        for i, j, x, y in zip(several.tolist(), of, begin.tolist(), end.tolist()):
+            windows[i] = np.full(len(texts[i]) - window + 1, least[i], np.int64)
+            windows[i][x : y + 1] = best[j]
     out: list[list] = [[] for _ in range(4)]
     for batch, numbers, own, which in asked:
         region, cuts, ids = [], [], []
