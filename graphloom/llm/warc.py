@@ -1,7 +1,8 @@
 """WARC records in ZIP-packaged archives (operator 7).
 
 Writing: each task packs its records into archives, a ZIP file with two stored members,
-``archive/data.warc`` and ``indexes/index.cdxj``, in the shared folder. Reading: the end
+``archive/data.warc.gz`` (records compressed one by one) and ``indexes/index.cdxj``, in
+the shared folder. Reading: the end
 of the file gives the central directory (ZIP64 where sizes ask for it), the directory
 gives the places of the stored members, the index gives the place of each record, and
 each record is one range read. Nothing is extracted or read twice.
@@ -15,12 +16,14 @@ unless all are null; a null URL has no target header; an empty table gives no ar
 no rows; other columns are ignored.
 
 Scale: payload digests are computed in the scan and grouped with map-side combine; only
-digests that occur twice meet the pages again. Archives are bounded by ``archive_bytes``,
+digests that occur twice meet the pages again: by broadcast if they are few (counted
+first), else in a shuffle. Archives are bounded by ``archive_bytes``,
 are named by task attempt, and only those listed by tasks that succeeded are read.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import json
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, written
 
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Repeated payloads (72 bytes each) up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -140,6 +145,8 @@ def marked(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_byt
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"))
     twice = rows.filter(F.col("n_bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("d"), "first")
+    twice = written(twice, "warc-repeated")
+    twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
     both = rows.join(twice, (rows["digest"] == twice["d"]) & (rows["n_bytes"] >= least_bytes), "left")
     revisit = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return both.select("page_id", "url", "digest", "n_bytes", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"), F.when(~revisit, F.col("html")).alias("html"))
@@ -149,10 +156,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes the archives and returns ``(path, n_records)`` of each, as a table in the
     shared folder, so that no later job writes them again."""
 
-    def pack(rows: Iterator[tuple]) -> tuple[bytes, int]:
+    def pack(rows: list[tuple]) -> tuple[bytes, int]:
         data, index = io.BytesIO(), []
         for page_id, url, digest, size, revisit, refers_to, html in rows:
-            record = record_bytes(page_id, url, (html or "").encode(), digest, size, refers_to, revisit)
+            record = gzip.compress(record_bytes(page_id, url, (html or "").encode(), digest, size, refers_to, revisit), 1, mtime=0)
             index.append(json.dumps({"offset": data.tell(), "length": len(record), "page_id": page_id, "digest": digest}))
             data.write(record)
         out = io.BytesIO()
@@ -167,7 +174,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
         def flush() -> pa.RecordBatch:
             fs.create_dir(root, recursive=True)
-            name, (raw, n) = f"{uuid.uuid4().hex}.zip", pack(iter(waiting))
+            name, (raw, n) = f"{uuid.uuid4().hex}.zip", pack(waiting)
             with fs.open_output_stream(f"{root}/{name}") as f:
                 f.write(raw)
             waiting.clear()
@@ -199,7 +206,7 @@ def read_records(uri: str) -> Iterator[dict]:
     for line in file.read(at, size).decode().split("\n"):
         if line:
             entry = json.loads(line)
-            yield parse_record(file.read(base + entry["offset"], entry["length"]))
+            yield parse_record(gzip.decompress(file.read(base + entry["offset"], entry["length"])))
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
