@@ -55,12 +55,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: floa
     return per.select("source", "source_size", F.coalesce(F.col("level") * F.col("w"), F.col("cap")).alias("target"))
 
 
+def _md5_number(text: Column) -> Column:
+    """The first 8 hex digits of the md5 of a text, as a number."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def copies(sized: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
     """``sized(doc_id, size, source)`` with ``source_size``, ``target`` and ``n_copies``."""
     rows = sized.count()
     buckets = max(1, -(-rows // CELL_ROWS))
     grade = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 2)).otherwise(F.lit(-1)).cast("int")
-    cells = sized.withColumn("grade", grade).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).cast("int"))
+    cells = sized.withColumn("grade", grade).withColumn("bucket", (_md5_number(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % buckets).cast("int"))
     count = cells.groupBy("source", "grade", "bucket").agg(F.count("*").alias("n"))
     run = Window.partitionBy("source").orderBy("grade", "bucket")
     start = count.withColumn("before", F.sum("n").over(run) - F.col("n")).drop("n")
@@ -76,7 +81,7 @@ def copies(sized: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
     placed = ranked.join(start, same(ranked, start, "source", "grade", "bucket"), "left").select(ranked["doc_id"], ranked["size"], ranked["source"], (F.col("at") + F.col("before")).alias("place"))
     rated = placed.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, placed["source"].eqNullSafe(plan["source"]), "left").select(placed["*"], plan["source_size"], plan["target"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\x00null"))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    offset = _md5_number(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source").cast("string"), F.lit("\n")))) / F.lit(float(1 << 32))
     return rated.withColumn("n_copies", (F.floor(offset + rate * F.col("place")) - F.floor(offset + rate * (F.col("place") - 1))).cast("long")).drop("place")
 
 

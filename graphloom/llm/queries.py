@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import chat, decontaminate, linededup, mixing, quality, repeats, sharding, simhash, urlfilter, warc
+from . import chat, decontaminate, linededup, mixing, oracles, quality, repeats, sharding, simhash, urlfilter, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -25,7 +24,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.digest(chat.format_records(chat.records_of(rows.unionByName(extra)), "id", "record"))
+    return chat.digest(chat.format_records(chat.records_of(rows.unionByName(extra)), "id", "record")).drop("layout", "schema_fingerprint")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +78,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
-
-
-__all__ = ["F", "oracle_sql", "queries"]
+    """Where SQL can express a query. Line dedup, quality rules, exact repeats, SimHash and
+    the pipeline are held against brute force in the tests instead."""
+    return {
+        "op2_extendible_sharding": oracles.sharding_sql(SHARD_BYTES),
+        "op3_chat_formatting": oracles.chat_sql(),
+        "op5_url_filter": oracles.url_sql(),
+        "op7_warc_zip": oracles.warc_sql(),
+        "op8_source_mixing": oracles.mixing_sql(),
+        "op10_decontamination": oracles.decontamination_sql(),
+    }
