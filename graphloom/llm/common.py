@@ -1,22 +1,23 @@
 """What several operators of this subpackage share.
 
-* the shared folder of the cluster and tables written to it,
+* tables in the shared folder of the cluster, and connected components, both from the
+  graph engine,
 * batches: documents dealt evenly by a hash of their id, so that work on whole
-  texts can be pre-aggregated per batch and addressed again later,
-* connected components by alternating large-star and small-star rounds.
+  texts can be pre-aggregated per batch and addressed again later.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import components as graph_components
+from graphloom.storage import fresh_path, partitions, shared_dir, table, written
+
 #: White space that separates words, as a character class body for Java, RE2 and Python.
 SPACE_CLASS = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,32 +27,6 @@ NO_ID = np.iinfo(np.int64).max
 PACK_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session; where it is unset (tests), a temporary folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """Texts as UTF-8 without decoding them; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -81,10 +56,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE_CLASS}]+")), F.lit(0)).cast("long")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def in_batches(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> DataFrame:
     """``(batch, packed)``: documents dealt to batches, read back by ``unpacked``.
 
@@ -132,65 +103,11 @@ def unpacked(table: pa.Table) -> pa.Table:
     return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
 
 
-# ---------------------------------------------------------------- components
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges(a long, b long)``: ``(node, root)``, root the
+    smallest node reachable. Nodes without an edge to another are absent."""
+    found = graph_components(edges.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return found.select("node", F.col("component").alias("root"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a long, b long)``: ``(node, root)``, root the
-    smallest node reachable. Nodes without an edge are absent.
-
-    Distributed union-find by star contraction: every round hangs the larger neighbours
-    of each node on its smallest one (large star), then the smaller ones (small star).
-    Minima are pre-aggregated before each shuffle, rounds are written to the shared
-    folder, and the driver sees one (count, checksum) row per round.
-    """
-
-    def marked(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        return r["n"], r["s"]
-
-    cur = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = marked(cur)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = _both_ways(cur)
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        # small star: a > b holds in every row, so the neighbours of a are its smaller ones
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        cur = written(small.filter("a <> b").distinct(), "edges")
-        before, seen = seen, marked(cur)
-        if before == seen:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-class Forest:
-    """Union-find over 0..n-1 that records the unions made."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-        self.edges: list[tuple[int, int]] = []
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def union(self, x: int, y: int) -> bool:
-        a, b = self.find(x), self.find(y)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        self.edges.append((x, y))
-        return True
+__all__ = ["arrow_map", "as_bytes", "components", "fresh_path", "in_batches", "partitions", "shared_dir", "table", "unpacked", "word_count", "written"]

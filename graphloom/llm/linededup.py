@@ -9,7 +9,7 @@ document id, then line number), the others go.
 2. Banding: 20 bands of 6 bins; a pair at similarity 0.8 shares a band with probability
    0.998, at 0.85 with 0.9999.
 3. Verification: lines of one band bucket come together with their texts, and the
-   similarity of pairs is computed on the shingle sets. Pairs that are connected already
+   similarity of pairs is computed on the whole shingle sets (as 64-bit hashes). Pairs that are connected already
    are skipped, so a bucket returns a spanning forest of its links and never all pairs.
    A bucket of more than ``tile`` lines is cut in tiles, and each pair of tiles is verified
    by itself: no line is dropped from a bucket of any size.
@@ -35,13 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Forest, arrow_map, as_bytes, components, in_batches, partitions, unpacked, written
+from .common import NO_ID, arrow_map, as_bytes, components, in_batches, partitions, unpacked, written
 
 SHINGLE, BINS, ROWS = 5, 120, 6
 BANDS = BINS // ROWS
 TILE = 2048
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
-_ORDER = np.random.default_rng(1).permutation(np.arange(1, BINS))
 CHUNK = 1 << 20
 
 
@@ -62,21 +61,32 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """(lines, BINS) least hashes; each line has ``SHINGLE`` characters at least."""
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of all lines, and the line of each, in order; each line
+    has ``SHINGLE`` characters at least."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.array([len(x) for x in lines], np.int64)
     h = points[: len(points) - SHINGLE + 1].copy()
     for k in range(1, SHINGLE):
-        h = h * _M[0] + points[k : len(points) - SHINGLE + 1 + k]
-    h = _mix(h)
+        h *= _M[0]
+        h += points[k : len(points) - SHINGLE + 1 + k]
+    h ^= h >> np.uint64(30)
+    h *= _M[1]
+    h ^= h >> np.uint64(27)
+    h *= _M[2]
+    h ^= h >> np.uint64(31)
     row = np.repeat(np.arange(len(lines)), lengths)[: len(h)]
     inside = np.ones(len(points), bool)
     ends = np.cumsum(lengths)
     for k in range(1, SHINGLE):
         inside[ends - k] = False
     inside = inside[: len(h)]
-    h, row = h[inside], row[inside]
+    return h[inside], row[inside]
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """(lines, BINS) least hashes; each line has ``SHINGLE`` characters at least."""
+    h, row = shingle_hashes(lines)
     bins = (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
     none = np.iinfo(np.uint64).max
     sig = np.full(len(lines) * BINS, none, np.uint64)
@@ -84,25 +94,19 @@ def signatures(lines: list[str]) -> np.ndarray:
     sig = sig.reshape(len(lines), BINS)
     filled = sig != none
     short = np.flatnonzero(~filled.all(axis=1))
-    own, had, out = sig[short], filled[short], sig[short].copy()
-    missing = ~had
-    for step in _ORDER:
-        live = np.flatnonzero(missing.any(axis=1))
-        if not len(live):
-            break
-        take = np.roll(had[live], -step, axis=1) & missing[live]
-        out[live] = np.where(take, np.roll(own[live], -step, axis=1), out[live])
-        missing[live] &= ~take
-    sig[short] = out
+    # an empty bin takes the next filled one, around the end
+    place = np.where(filled[short], np.arange(BINS), 2 * BINS)
+    nxt = np.minimum.accumulate(np.concatenate([place, place + BINS], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :BINS] % BINS
+    sig[short] = np.take_along_axis(sig[short], nxt, axis=1)
     return sig
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) keys."""
-    bands = sig.reshape(len(sig), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _M[0], bands.shape[:2]).copy()
+    """(lines, BANDS) keys. The bins of a band lie far apart, so borrowed ones differ."""
+    bands = sig.reshape(len(sig), ROWS, BANDS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _M[0], (len(sig), BANDS)).copy()
     for k in range(ROWS):
-        key = _mix(key ^ bands[:, :, k]) * _M[0]
+        key = _mix(key ^ bands[:, k]) * _M[0]
     return _mix(key)
 
 
@@ -149,14 +153,20 @@ def _buckets(table: pa.Table, tile: int) -> pa.Table:
     key, ids, batch = key[once], ids[once], batch[once]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
-    out: list[list] = [[], [], []]
 
     def add(members: np.ndarray) -> None:
         name = xxhash.xxh3_64_intdigest(ids[members].tobytes()) >> 1
         for column, x in zip(out, (name, ids[members].tobytes(), batch[members].astype(np.int32).tobytes())):
             column.append(x)
 
-    for s, n in zip(start[size > 1].tolist(), size[size > 1].tolist()):
+    # buckets of two, most of all, together
+    two = start[size == 2]
+    pair, owner = np.stack([ids[two], ids[two + 1]], axis=1), np.stack([batch[two], batch[two + 1]], axis=1).astype(np.int32)
+    names = (_mix(pair[:, 0].astype(np.uint64) * _M[0] ^ _mix(pair[:, 1].astype(np.uint64))) >> np.uint64(1)).astype(np.int64)
+    names, first = np.unique(names, return_index=True)
+    raw, raw_owner = pair[first].tobytes(), owner[first].tobytes()
+    out = [names.tolist(), [raw[i : i + 16] for i in range(0, len(raw), 16)], [raw_owner[i : i + 8] for i in range(0, len(raw_owner), 8)]]
+    for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
         if n <= tile:
             add(np.arange(s, s + n))
             continue
@@ -168,24 +178,24 @@ def _buckets(table: pa.Table, tile: int) -> pa.Table:
 
 
 def _requests(batch: pa.RecordBatch) -> pa.Table:
-    """A set's members, asked for from the batches that hold them."""
-    out: list[list] = [[], [], []]
+    """A set's members, asked for from the batches that hold them; ``lead`` is the first of them."""
+    out: list[list] = [[], [], [], []]
     for name, ids, batches in zip(*(batch.column(c).to_pylist() for c in ("name", "ids", "batches"))):
         i, b = np.frombuffer(ids, np.int64), np.frombuffer(batches, np.int32)
-        for x in np.unique(b).tolist():
-            for column, y in zip(out, (x, name, i[b == x].tobytes())):
+        for x in set(b.tolist()):
+            for column, y in zip(out, (x, name, int(i[0]), i[b == x].tobytes())):
                 column.append(y)
-    return pa.table({n: pa.array(r, k) for n, k, r in zip(("batch", "name", "ids"), (pa.int32(), pa.int64(), pa.binary()), out)})
+    return pa.table({n: pa.array(r, k) for n, k, r in zip(("batch", "name", "lead", "ids"), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), out)})
 
 
 def _answers(docs: pa.Table, asked: pa.Table) -> pa.Table:
-    out: list[list] = [[], [], []]
+    out: list[list] = [[], [], [], []]
     if docs.num_rows and asked.num_rows:
         lines = _distinct(as_bytes(unpacked(docs)["text"]))
-        for name, ids in zip(asked["name"].to_pylist(), asked["ids"].to_pylist()):
-            for column, y in zip(out, (name, ids, [lines[i] for i in np.frombuffer(ids, np.int64).tolist()])):
+        for name, lead, ids in zip(*(asked[c].to_pylist() for c in ("name", "lead", "ids"))):
+            for column, y in zip(out, (name, lead, ids, [lines[i] for i in np.frombuffer(ids, np.int64).tolist()])):
                 column.append(y)
-    return pa.table({"name": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.binary()), "texts": pa.array(out[2], pa.list_(pa.binary()))})
+    return pa.table({"name": pa.array(out[0], pa.int64()), "lead": pa.array(out[1], pa.int64()), "ids": pa.array(out[2], pa.binary()), "texts": pa.array(out[3], pa.list_(pa.binary()))})
 
 
 def shingles(line: str) -> set[str]:
@@ -200,34 +210,92 @@ def alike(a: set, b: set) -> bool:
     return 10 * both >= 8 * (len(a) + len(b) - both)
 
 
-def verify(sets: list[set]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among these sets. First each set meets the first
-    member of every group so far; then groups meet, pair by pair, until a link joins them."""
-    forest, groups = Forest(len(sets)), []
-    for i, s in enumerate(sets):
-        for g in groups:
-            if alike(s, sets[g[0]]):
-                forest.union(g[0], i)
-                g.append(i)
-                break
-        else:
-            groups.append([i])
-    for x, g in enumerate(groups):
-        for other in groups[x + 1 :]:
-            if forest.find(g[0]) != forest.find(other[0]):
-                link = next(((i, j) for i in g for j in other if alike(sets[i], sets[j])), None)
-                if link:
-                    forest.union(*link)
-    return forest.edges
+class Lines:
+    """Shingle sets of lines by id, with union-find over them and the links that were found.
+
+    A set is the sorted array of the 64-bit hashes of all of a line's shingles."""
+
+    def __init__(self, texts: dict[int, bytes]) -> None:
+        self.sets: dict[int, np.ndarray] = {}
+        self.up: dict[int, int] = {}
+        self.found: list[tuple[int, int]] = []
+        ids, held, size = [], [], 0
+        for n, (i, t) in enumerate(texts.items(), 1):
+            line = t.decode("utf-8", "replace")
+            ids.append(i)
+            held.append(line)
+            size += len(line)
+            if size > CHUNK or n == len(texts):
+                self._add(ids, held)
+                ids, held, size = [], [], 0
+
+    def _add(self, ids: list[int], lines: list[str]) -> None:
+        h, row = shingle_hashes(lines)
+        cuts = np.searchsorted(row, np.arange(len(lines) + 1)).tolist()
+        for i, a, b in zip(ids, cuts, cuts[1:]):
+            own = np.sort(h[a:b])
+            self.sets[i] = own[np.concatenate([[True], own[1:] != own[:-1]])]
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def link(self, a: int, b: int) -> None:
+        self.up[self.root(b)] = self.root(a)
+        self.found.append((a, b))
+
+    def alike(self, i: int, j: int) -> bool:
+        """Jaccard similarity of 0.8 or more."""
+        a, b = self.sets[i], self.sets[j]
+        n, m = len(a), len(b)
+        if 10 * min(n, m) < 8 * max(n, m):
+            return False
+        every = np.concatenate([a, b])
+        every.sort()
+        both = int(np.count_nonzero(every[1:] == every[:-1]))
+        return 10 * both >= 8 * (n + m - both)
+
+    def verify(self, ids: list[int]) -> None:
+        """Adds links until all alike lines of ``ids`` are connected.
+
+        What is connected already is one group. First the groups' first members meet; then
+        the groups that are left meet, pair by pair, until a link joins them."""
+        groups: dict[int, list[int]] = {}
+        for i in ids:
+            groups.setdefault(self.root(i), []).append(i)
+        left: list[list[int]] = []
+        for g in groups.values():
+            for other in left:
+                if self.alike(other[0], g[0]):
+                    self.link(other[0], g[0])
+                    other.extend(g)
+                    break
+            else:
+                left.append(g)
+        for x, g in enumerate(left):
+            for other in left[x + 1 :]:
+                if len(g) + len(other) > 2 and self.root(g[0]) != self.root(other[0]):
+                    pair = next(((i, j) for i in g for j in other if self.alike(i, j)), None)
+                    if pair:
+                        self.link(*pair)
 
 
 def _verified(table: pa.Table) -> pa.Table:
-    found: dict[int, bytes] = {}
-    for ids, texts in zip(table["ids"].to_pylist(), table["texts"].to_pylist()):
-        found.update(zip(np.frombuffer(ids, np.int64).tolist(), texts))
-    ids = sorted(found)
-    links = verify([shingles(found[i].decode("utf-8", "replace")) for i in ids])
-    return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
+    """Links of the sets of a group of sets; sets with one lead are in one group, so a pair
+    that several of them hold is compared once."""
+    members: dict[int, list[int]] = {}
+    texts: dict[int, bytes] = {}
+    for name, ids, own_texts in zip(*(table[c].to_pylist() for c in ("name", "ids", "texts"))):
+        own = np.frombuffer(ids, np.int64).tolist()
+        members.setdefault(name, []).extend(own)
+        texts.update(zip(own, own_texts))
+    lines = Lines(texts)
+    for _, ids in sorted((min(x), x) for x in members.values()):
+        lines.verify(sorted(ids))
+    return pa.table({"a": pa.array([a for a, _ in lines.found], pa.int64()), "b": pa.array([b for _, b in lines.found], pa.int64())})
 
 
 def alike_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, batch_bytes: int = 16 << 20) -> DataFrame:
@@ -237,30 +305,34 @@ def alike_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bands = batched.groupBy("batch").applyInArrow(lambda t: _batch_bands(t, parts), "part int, batch int, keys binary, ids binary")
     sets = bands.groupBy("part").applyInArrow(lambda t: _buckets(t, tile), "name long, ids binary, batches binary")
     once = sets.groupBy("name").agg(F.min(F.struct("ids", "batches")).alias("s")).select("name", "s.*")
-    asked = arrow_map(once, _requests, "batch int, name long, ids binary")
-    texts = batched.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(_answers, "name long, ids binary, texts array<binary>")
-    return texts.groupBy("name").applyInArrow(_verified, "a long, b long")
+    asked = arrow_map(once, _requests, "batch int, name long, lead long, ids binary")
+    texts = batched.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(_answers, "name long, lead long, ids binary, texts array<binary>")
+    return texts.groupBy(F.pmod(F.xxhash64("lead"), F.lit(4 * parts)).alias("some")).applyInArrow(_verified, "a long, b long")
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, version, at, line)`` of every line: document, hash of its text, number, id."""
+    """``(doc, version, of, at, line)`` of every line: document, hash of its text, number of
+    its lines, number of this one, id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
-            for n, x in lines_of(text):
-                for column, y in zip(out, (NO_ID if doc is None else doc, version, n, line_id(x))):
-                    column.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], ["doc", "version", "at", "line"])
+            lines = lines_of(text)
+            for column, y in zip(out, ([NO_ID if doc is None else doc] * len(lines), [version] * len(lines), [len(lines)] * len(lines), [n for n, _ in lines], [line_id(x) for _, x in lines])):
+                column.extend(y)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc", "version", "of", "at", "line"])
 
-    return arrow_map(rows, run, "doc long, version long, at int, line long")
+    return arrow_map(rows, run, "doc long, version long, of long, at int, line long")
 
 
-def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``(doc, version, at)`` of the line that stays of every component."""
+def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: DataFrame | None = None, **options) -> DataFrame:
+    """``(doc, version, at)`` of the line that stays of every component; ``lines``: the
+    occurrences, if they are at hand."""
     roots = written(components(alike_lines(docs, id_col, text_col, **options)), "line-roots")
-    first = occurrences(docs, id_col, text_col).groupBy("line").agg(F.min(F.struct("doc", "version", "at")).alias("first"))
+    lines = occurrences(docs, id_col, text_col) if lines is None else lines
+    first = lines.groupBy("line").agg(F.min(F.struct("doc", "version", "at")).alias("first"))
     rooted = first.join(roots.withColumnRenamed("node", "line"), "line", "left").select(F.coalesce("root", "line").alias("root"), "first")
     return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
 
@@ -268,16 +340,13 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(doc_id, n_lines, n_kept, kept_lines)`` per document: the numbers of the lines that
     stay, from 0, among all that a split at line feeds gives."""
-    kept = first_lines(docs, id_col, text_col, **options).groupBy("doc", "version").agg(F.sort_array(F.collect_list("at")).alias("kept_lines"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(lines_of(t)) for t in as_bytes(batch.column(2))], pa.int64())], ["doc_id", "version", "n_lines"])
-
-    counted = arrow_map(rows, count, "doc_id long, version long, n_lines long")
-    both = counted.join(kept, (F.coalesce(counted["doc_id"], F.lit(int(NO_ID))) == kept["doc"]) & (counted["version"] == kept["version"]), "left")
-    lines = F.coalesce("kept_lines", F.expr("cast(array() as array<int>)"))
-    return both.select("doc_id", "n_lines", F.size(lines).cast("long").alias("n_kept"), lines.alias("kept_lines"))
+    lines = occurrences(docs, id_col, text_col)
+    kept = first_lines(docs, id_col, text_col, lines, **options).groupBy("doc", "version").agg(F.sort_array(F.collect_list("at")).alias("kept_lines"))
+    counted = lines.groupBy("doc", "version").agg(F.max("of").alias("n_lines"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("doc"), F.xxhash64(text_col).alias("version"))
+    both = rows.join(counted, ["doc", "version"], "left").join(kept, ["doc", "version"], "left")
+    numbers = F.coalesce("kept_lines", F.expr("cast(array() as array<int>)"))
+    return both.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(numbers).cast("long").alias("n_kept"), numbers.alias("kept_lines"))
 
 
 def without_alike_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
