@@ -242,17 +242,18 @@ def smallest_ids(texts: list[bytes], least: np.ndarray, window: int) -> list[np.
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])
     joined = b"\x00".join(texts) + b"\x00"
-    data = np.frombuffer(joined + b"\x00" * window, np.uint8)
-    n = len(joined)
+    data, n = np.frombuffer(joined, np.uint8), len(joined)
     with suffix.Scratch() as scratch:
-        symbols = data[:n].astype(np.int64) + 2
+        symbols = data.astype(np.int64) + 2
         symbols[starts[1:] - 1] = 1
-        order = suffix.sort_suffixes(np.append(symbols, 0), 258, scratch)[1:]
-        room = np.zeros(n, bool)  # windows that stay in their text
+        order, shared = suffix.suffixes_and_prefixes(np.append(symbols, 0), 258, window, scratch)
+        room = np.zeros(n + 1, bool)  # windows that stay in their text; nothing else shares one with them
         for s, length in zip(starts[:-1].tolist(), lengths.tolist()):
             room[s : s + length - window + 1] = True
-        order = np.asarray(order)[room[order]]
-        group = np.cumsum(~suffix.common_prefix_at_least(data, order, window)) - 1
+        group = np.cumsum(shared < window)
+        keep = room[order]
+        order, group = np.asarray(order)[keep], group[keep]
+        group = np.cumsum(np.diff(group, prepend=group[:1]) != 0)
         owner = np.searchsorted(starts, order, side="right") - 1
         smallest = np.full(int(group[-1]) + 1, NO_ID, np.int64)
         np.minimum.at(smallest, group, least[owner])
@@ -360,8 +361,8 @@ def _cut(docs: pa.Table, wanted: pa.Table, judged: pa.Table, window: int) -> pa.
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, batch_bytes: int = 16 << 20) -> DataFrame:
     """``(doc_id, n_bytes, spans, kept)``: the removed byte spans of each document and its
     remaining bytes."""
-    if window < GRAM:
-        raise ValueError(f"windows have {GRAM} bytes at least")
+    if not GRAM <= window <= 255:
+        raise ValueError(f"windows have {GRAM} to 255 bytes")
     batched = in_batches(docs, id_col, text_col, batch_bytes)
     parts = partitions(docs.sparkSession)
     by_batch = lambda df: df.groupBy("batch")

@@ -12,7 +12,10 @@ order of what induced them; runs over the memory budget go to files of a scratch
 and come back a range at a time. Inside a range of several symbols the tuples also carry
 what induced them, and ranks along those links, doubling their reach, order the range.
 
-The text, its types and the sorted suffixes are memory-mapped files above the budget.
+In the last two passes the tuples carry common prefixes as well: they start from what
+neighbouring S* suffixes share, and each step of the induction passes them on.
+
+The sorted suffixes are memory-mapped files above the budget.
 """
 
 from __future__ import annotations
@@ -217,22 +220,13 @@ def _same_stretch(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.nda
     return equal
 
 
-def sort_suffixes(text: np.ndarray, sigma: int, scratch: Scratch, size: int = RANGE, memory: int = MEMORY) -> np.ndarray:
-    """Suffix array of ``text``, symbols 0..sigma-1, whose last symbol is 0 and no other is."""
+def _sorted_stars(text: np.ndarray, rising: np.ndarray, mirror: np.ndarray, sigma: int, scratch: Scratch, size: int, memory: int) -> np.ndarray:
+    """The S* suffixes in order, by recursion on the text of their names."""
     n = len(text)
-    if n <= 2:
-        return np.arange(n - 1, -1, -1, dtype=np.int64)
-    rising = types(text)
     star = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
-    mirror = sigma - 1 - text
-
-    def both(roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        falling = induce(text, roots, ~rising, sigma, scratch, size, memory)
-        up = induce(mirror, falling[::-1], _but_last(rising), sigma, scratch, size, memory)
-        return falling, up[::-1]
-
     # the stretches between S* suffixes in order, from S* suffixes in order of their first symbol
-    _, up = both(star[np.argsort(text[star], kind="stable")])
+    falling = induce(text, star[np.argsort(text[star], kind="stable")], ~rising, sigma, scratch, size, memory)
+    up = induce(mirror, falling[::-1], _but_last(rising), sigma, scratch, size, memory)[::-1]
     is_star = np.zeros(n, bool)
     is_star[star] = True
     ordered = np.concatenate([[n - 1], up[is_star[up]]])
@@ -245,14 +239,125 @@ def sort_suffixes(text: np.ndarray, sigma: int, scratch: Scratch, size: int = RA
     name[ordered] = np.concatenate([[0], np.cumsum(~same)])
     names = name[star]
     if len(star) > int(names.max()) + 1:  # some stretches are equal: the text of names decides
-        stars = star[sort_suffixes(names, int(names.max()) + 1, scratch, size, memory)]
-    else:
-        stars = star[np.argsort(names)]
-    falling, up = both(stars)
-    rising_sorted = np.concatenate([[n - 1], up])
-    # merge: by first symbol, falling before rising
-    heads = np.concatenate([text[falling].astype(np.int64) * 2, text[rising_sorted].astype(np.int64) * 2 + 1])
-    return np.concatenate([falling, rising_sorted])[np.argsort(heads, kind="stable")]
+        return star[sort_suffixes(names, int(names.max()) + 1, scratch, size, memory)]
+    return star[np.argsort(names)]
+
+
+def sort_suffixes(text: np.ndarray, sigma: int, scratch: Scratch, size: int = RANGE, memory: int = MEMORY) -> np.ndarray:
+    """Suffix array of ``text``, symbols 0..sigma-1, whose last symbol is 0 and no other is."""
+    if len(text) <= 2:
+        return np.arange(len(text) - 1, -1, -1, dtype=np.int64)
+    rising, mirror = types(text), sigma - 1 - text
+    stars = _sorted_stars(text, rising, mirror, sigma, scratch, size, memory)
+    falling = induce(text, stars, ~rising, sigma, scratch, size, memory)
+    up = induce(mirror, falling[::-1], _but_last(rising), sigma, scratch, size, memory)[::-1]
+    return _merged(text, falling, np.concatenate([[len(text) - 1], up]))[0]
+
+
+def _merged(text: np.ndarray, falling: np.ndarray, rising: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both kinds together, by first symbol, falling before rising; and how they interleave."""
+    heads = np.concatenate([text[falling].astype(np.int64) * 2, text[rising].astype(np.int64) * 2 + 1])
+    order = np.argsort(heads, kind="stable")
+    return np.concatenate([falling, rising])[order], order
+
+
+def _run(text: np.ndarray, at: int, cap: int) -> int:
+    """How often the first symbol of a suffix repeats at its start."""
+    n = 1
+    while n < cap and text[at + n] == text[at]:
+        n += 1
+    return n
+
+
+def _between(text: np.ndarray, falling: int, rising: int, cap: int) -> int:
+    """What a falling and a rising suffix of one first symbol share: the shorter run of it."""
+    return min(_run(text, int(falling), cap), _run(text, int(rising), cap))
+
+
+def neighbours_share(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
+    """Symbols that each suffix shares with the one before it in ``order``, up to ``cap``."""
+    shared = np.zeros(len(order), np.uint8)
+    live = np.arange(1, len(order))
+    for k in range(cap):
+        live = live[text[order[live - 1] + k] == text[order[live] + k]]
+        if not len(live):
+            break
+        shared[live] = k + 1
+    return shared
+
+
+def induce_prefixes(text: np.ndarray, roots: np.ndarray, root_shares: np.ndarray, want: np.ndarray, sigma: int, cap: int, scratch: Scratch, size: int = RANGE, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
+    """As ``induce``, and for each suffix the symbols that it shares with the one before it
+    (up to ``cap``, at most 255).
+
+    Tuples in the queue carry their common prefix: what is pushed shares one symbol more
+    with the last that was pushed to the same symbol than what pushed them share, which is
+    the least of the values in between. A symbol is a range of its own here."""
+    root_at = np.searchsorted(text[roots], np.arange(sigma + 1))
+    queue = RangeQueue(sigma, scratch, memory)
+    least = np.full(sigma, cap, np.int64)  # since the last push to each symbol
+    total = int(want.sum())
+    out, out_shares, filled = scratch.array(total, np.int64), scratch.array(total, np.uint8), 0
+
+    def feed(at: np.ndarray, shares: np.ndarray) -> None:
+        for i in range(0, len(at), size):
+            part, own = at[i : i + size], shares[i : i + size].astype(np.int64)
+            prev = part - 1
+            index = np.flatnonzero((part > 0) & want[prev])
+            symbols = text[prev[index]]
+            order = np.argsort(symbols, kind="stable")
+            index, symbols = index[order], symbols[order]
+            cuts = [0, *(np.flatnonzero(np.diff(symbols)) + 1).tolist(), len(index)] if len(index) else [0]
+            after = np.minimum(least, own.min())
+            values = np.empty(len(index), np.int64)
+            for x, y in zip(cuts, cuts[1:]):
+                d, mine = int(symbols[x]), index[x:y]
+                last = int(mine[-1]) + 1
+                v = np.minimum.reduceat(own[:last], np.concatenate([[0], mine[:-1] + 1]))
+                v[0] = min(v[0], least[d])
+                values[x:y] = v
+                after[d] = own[last:].min() if last < len(own) else cap
+            least[:] = after
+            queue.push(prev[index] << 8 | np.minimum(values + 1, cap), symbols)
+
+    for symbol in range(sigma):
+        begun, own = filled, roots[root_at[symbol] : root_at[symbol + 1]]
+        while len(cur := queue.pop(symbol)):  # what a symbol induces in itself comes as the next generation
+            at, shares = cur >> 8, cur & 255
+            if filled == begun:
+                shares[0] = 0
+            out[filled : filled + len(at)], out_shares[filled : filled + len(at)] = at, shares
+            filled += len(at)
+            feed(at, shares)
+        if len(own):
+            shares = root_shares[root_at[symbol] : root_at[symbol + 1]].astype(np.int64)
+            shares[0] = _between(text, out[filled - 1], own[0], cap) if filled > begun else 0
+            feed(own, shares)
+    assert filled == total, "not every suffix was induced"
+    return out, out_shares
+
+
+def suffixes_and_prefixes(text: np.ndarray, sigma: int, cap: int, scratch: Scratch, size: int = RANGE, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array as by ``sort_suffixes``, and the symbols that each suffix shares with the
+    one before it, up to ``cap``; for small alphabets."""
+    n = len(text)
+    if n <= 2:
+        order = sort_suffixes(text, sigma, scratch)
+        return order, np.zeros(n, np.uint8)
+    rising, mirror = types(text), sigma - 1 - text
+    stars = _sorted_stars(text, rising, mirror, sigma, scratch, size, memory)
+    falling, shares = induce_prefixes(text, stars, neighbours_share(text, stars, cap), ~rising, sigma, cap, scratch, size, memory)
+    turned = np.concatenate([[0], shares[:0:-1]]).astype(np.uint8)[: len(falling)]
+    down, down_shares = induce_prefixes(mirror, falling[::-1], turned, _but_last(rising), sigma, cap, scratch, size, memory)
+    up = np.concatenate([[n - 1], down[::-1]])
+    up_shares = np.concatenate([[0, 0], down_shares[:0:-1]]).astype(np.uint8)[: len(up)]
+    order, places = _merged(text, falling, up)
+    shared = np.concatenate([shares, up_shares])[places]
+    # where the rising suffixes of a symbol begin after falling ones
+    kind = places >= len(falling)
+    for i in (np.flatnonzero(kind[1:] & ~kind[:-1]) + 1).tolist():
+        shared[i] = _between(text, order[i - 1], order[i], cap) if text[order[i - 1]] == text[order[i]] else 0
+    return order, shared
 
 
 def _but_last(mask: np.ndarray) -> np.ndarray:
@@ -260,18 +365,3 @@ def _but_last(mask: np.ndarray) -> np.ndarray:
     out = mask.copy()
     out[-1] = False
     return out
-
-
-def common_prefix_at_least(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Whether each suffix shares ``depth`` bytes (at least 8) with the one before it in ``order``.
-    ``data``: bytes, padded by ``depth`` at least."""
-    wide = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
-    shares = np.zeros(len(order), bool)
-    for i in range(1, len(order), RANGE):
-        a, b = order[i - 1 : i - 1 + RANGE], order[i : i + RANGE]
-        a = a[: len(b)]
-        live = np.arange(len(b))
-        for step in [*range(0, depth - 8, 8), depth - 8]:
-            live = live[wide[a[live] + step] == wide[b[live] + step]]
-        shares[i + live] = True
-    return shares

@@ -148,13 +148,22 @@ def test_suffix_order(size, memory):
             assert list(got) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
-def test_common_prefixes():
-    data = np.frombuffer(b"abcabcabcabc_abcabcabcabd" + bytes(32), np.uint8)
-    n = 25
-    order = np.array(sorted(range(n), key=lambda i: bytes(data[i:n])))
-    got = suffix.common_prefix_at_least(data, order, 9)
-    want = [i > 0 and bytes(data[order[i - 1] : order[i - 1] + 9]) == bytes(data[order[i] : order[i] + 9]) for i in range(n)]
-    assert got.tolist() == want
+@pytest.mark.parametrize("size,memory", [(2, 64), (7, 1 << 20), (200_000, 1 << 26)])
+def test_common_prefixes(size, memory):
+    rng = random.Random(size)
+    for n in (1, 2, 3, 10, 40, 120):
+        for sigma in (1, 2, 3, 30):
+            text = [rng.randint(1, sigma) for _ in range(n)]
+            text = (text[:25] * 5 if n == 120 else text) + [0]
+            for cap in (1, 9, 50):
+                with suffix.Scratch() as scratch:
+                    order, shared = suffix.suffixes_and_prefixes(np.array(text), max(text) + 1, cap, scratch, size, memory)
+                assert list(order) == sorted(range(len(text)), key=lambda i: text[i:])
+                for i, (a, b) in enumerate(zip(order, order[1:]), 1):
+                    same = 0
+                    while same < cap and text[a + same] == text[b + same]:
+                        same += 1
+                    assert shared[i] == same, (text, i)
 
 
 # ---- lines
@@ -203,6 +212,20 @@ def test_line_dedup(spark):
     assert linededup.line_table(df.limit(0)).count() == 0
 
 
+def test_hashed_sets_compare_exactly():
+    rng = random.Random(11)
+    for _ in range(3000):
+        x = "".join(rng.choice("ab" if rng.random() < 0.5 else "abcdefgh é") for _ in range(rng.randint(5, 60)))
+        y = list(x)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(0, len(y))
+            y[at : at + rng.randint(0, 2)] = rng.choice(["", "z", "ab", "q" * 5])
+        y = "".join(y) if len(y) > 4 else x
+        if len(y) >= 5:
+            lines = linededup.Lines({1: x.encode(), 2: y.encode()})
+            assert lines.alike(1, 2) == linededup.alike(linededup.shingles(x), linededup.shingles(y))
+
+
 def test_line_recall():
     """Share of near pairs at 0.8 to 0.9 that share a band."""
     rng = random.Random(7)
