@@ -19,11 +19,9 @@ benchmark of any size is searched whole and no pass holds more than one block.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +50,7 @@ class WuManber:
                 key = window[end - b : end] if b == 2 else window[end - 1]
                 self.shift[key] = min(self.shift.get(key, self.far), m - end)
             self.bucket[key].append(window)
-        # a bucket with many windows is compared through a set of their words, which tests equality all the same
+        # equality with any window of a bucket is one lookup of the words themselves
         self.bucket = {k: frozenset(v) for k, v in self.bucket.items()}
 
     def search(self, words: list[bytes]):
@@ -87,6 +85,17 @@ def build(items: list[tuple[str | None, bytes]], window: int) -> list[WuManber]:
     return [WuManber(dict(w)) for _, w in sorted(by_length.items())]
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of intervals, as intervals in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def find(words: list[bytes], searchers: list[WuManber]) -> tuple[list[tuple[int, int]], set]:
     """Merged word intervals inside occurrences, and the items found."""
     spans, items = [], set()
@@ -94,13 +103,7 @@ def find(words: list[bytes], searchers: list[WuManber]) -> tuple[list[tuple[int,
         for start, window in s.search(words):
             spans.append((start, start + s.m))
             items |= s.items[window]
-    merged: list[list[int]] = []
-    for start, end in sorted(spans):
-        if merged and start <= merged[-1][1]:
-            merged[-1][1] = max(end, merged[-1][1])
-        else:
-            merged.append([start, end])
-    return [(a, b) for a, b in merged], items
+    return merged(spans), items
 
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
@@ -120,8 +123,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """``(doc_id, text, n_words, spans, items)`` of every document: merged word intervals
     inside occurrences of a window, and the sorted ids of the items found."""
     sc = docs.sparkSession.sparkContext
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    kind, schema = out.schema["doc_id"].dataType.simpleString(), out.schema
+    empty = lambda kind, name: F.expr(f"cast(array() as array<{kind}>)").alias(name)
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), empty("struct<start:int,end:int>", "spans"), empty("string", "items"))
+    kind = out.schema["doc_id"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for block in _item_blocks(benchmark, item_col, item_text_col, block_bytes):
         tables = sc.broadcast(build(block, window))
@@ -132,20 +136,13 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                 words = words_of(text)
                 counts.append(len(words))
                 new, found = find(words, tables.value)
-                if old:
-                    merged: list[list[int]] = []
-                    for s, e in sorted([*new, *((x["start"], x["end"]) for x in old)]):
-                        if merged and s <= merged[-1][1]:
-                            merged[-1][1] = max(e, merged[-1][1])
-                        else:
-                            merged.append([s, e])
-                    new = [tuple(x) for x in merged]
+                if old:  # of the blocks before
+                    new = merged([*new, *((x["start"], x["end"]) for x in old)])
                 spans.append([{"start": s, "end": e} for s, e in new])
                 items.append(sorted({x for x in found if x is not None} | set(had)))
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "items"])
 
         out = arrow_map(out, run, f"doc_id {kind}, text string, n_words long, {FOUND}")
-    assert out.schema.names == schema.names
     return out
 
 
@@ -173,10 +170,3 @@ def clean_only(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         out = arrow_map(out, run, schema)
     return out
-
-
-def digest_of_items(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
-__all__ = ["WuManber", "build", "clean_only", "contamination", "find", "occurrences", "pc", "words_of"]
