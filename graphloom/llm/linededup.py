@@ -40,6 +40,8 @@ from .common import NO_ID, arrow_map, as_bytes, components, in_batches, partitio
 SHINGLE, BINS, ROWS = 5, 120, 6
 BANDS = BINS // ROWS
 TILE = 2048
+#: Groups over which the sets of one lead are spread, so that a line with very many of them is not one task.
+SALT = 4
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 CHUNK = 1 << 20
 
@@ -307,7 +309,7 @@ def alike_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = sets.groupBy("name").agg(F.min(F.struct("ids", "batches")).alias("s")).select("name", "s.*")
     asked = arrow_map(once, _requests, "batch int, name long, lead long, ids binary")
     texts = batched.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(_answers, "name long, lead long, ids binary, texts array<binary>")
-    return texts.groupBy(F.pmod(F.xxhash64("lead"), F.lit(4 * parts)).alias("some")).applyInArrow(_verified, "a long, b long")
+    return texts.groupBy(F.pmod(F.xxhash64("lead", F.pmod("name", F.lit(SALT))), F.lit(4 * parts)).alias("some")).applyInArrow(_verified, "a long, b long")
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
