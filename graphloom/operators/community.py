@@ -6,11 +6,12 @@ Tables: ``adjacency(src, dst, w_uv)``, ``partition(node, community)`` and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import kernels as K
 from graphloom.model import Objective
+from graphloom.operators.numbering import dense_number
 
 
 def node_stats(degrees: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
@@ -107,4 +108,4 @@ def compose(labels: DataFrame, level: DataFrame) -> DataFrame:
 
 def rank_edges(edges: DataFrame, bet: str = "bet") -> DataFrame:
     """Edges in order of betweenness, largest first, with ``rank`` from 1; ties by (u, v)."""
-    return edges.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(bet), "u", "v")))
+    return dense_number(edges, F.desc(bet), "u", "v", name="rank").withColumn("rank", F.col("rank") + 1)

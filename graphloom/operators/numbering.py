@@ -26,7 +26,7 @@ def dense_number(df: DataFrame, *order: str | Column, name: str = "number") -> D
         at += size
     if not starts:
         return placed.drop("__id").withColumn(name, F.lit(None).cast("long"))
-    start = F.element_at(F.create_map(*starts), part)
+    start = F.element_at(F.create_map(*starts), part)  # one entry a partition
     row = F.col("__id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return placed.withColumn(name, (start + row).cast("long")).drop("__id")
 
