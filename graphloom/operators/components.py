@@ -17,8 +17,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     aggregated before each shuffle, each round is a table in the shared folder, and the
     driver sees one (count, checksum) row of it.
     """
-    loops = edges.filter("u = v").select("u")
-    cur = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "star")
+    base = written(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "star")
+    loops, cur = base.filter("a = b").select("a"), base.filter("a <> b")
     seen = _mark(cur)
     for _ in range(max_rounds):
         if not seen[0]:
@@ -34,7 +34,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = cur.select(F.col("b").alias("node")).unionAll(loops.select(F.col("u").alias("node"))).distinct()
+    roots = cur.select(F.col("b").alias("node")).unionAll(loops.select(F.col("a").alias("node"))).distinct()
     hung = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
     alone = roots.join(hung, "node", "left_anti")
     return hung.unionByName(alone.select("node", F.col("node").alias("component")))
