@@ -5,7 +5,8 @@ more; of every connected component of alike lines the first occurrence stays (sm
 document id, then line number), the others go.
 
 1. Signatures: one hash per shingle, its high bits choose one of 120 bins, the least hash
-   of each bin is the signature; empty bins borrow from filled ones.
+   of each bin is the signature; each empty bin borrows from a filled one in an order of
+   its own.
 2. Banding: 20 bands of 6 bins; a pair at similarity 0.8 shares a band with probability
    0.998, at 0.85 with 0.9999.
 3. Verification: lines of one band bucket come together with their texts, and the
@@ -44,6 +45,10 @@ TILE = 2048
 SALT = 4
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 CHUNK = 1 << 20
+#: [r, j]: bin that comes at place r in the order of bin j, itself first; and its inverse, [bin, j].
+_ORDER = np.array([[j, *(b for b in np.random.default_rng(j + 1).permutation(BINS) if b != j)] for j in range(BINS)]).T
+_RANK = np.argsort(_ORDER, axis=0).astype(np.uint8)
+_AT_RANK = np.ascontiguousarray(_ORDER.T).astype(np.uint8)
 
 
 def lines_of(text: bytes) -> list[tuple[int, bytes]]:
@@ -86,6 +91,25 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[inside], row[inside]
 
 
+def _sources(filled: np.ndarray) -> np.ndarray:
+    """(lines, BINS) bin that each bin takes its hash from: the filled one of least rank.
+
+    Ranks are an order of all bins for each bin by itself, which it leads, so what one bin
+    borrows tells nothing of what another one does."""
+    width = filled.sum(axis=1)
+    order = np.argsort(-width, kind="stable")
+    row, full = np.nonzero(filled[order])
+    width = width[order]
+    start = np.cumsum(width) - width
+    least = _RANK[full[start]]
+    for k in range(1, int(width.max(initial=0))):
+        n = np.searchsorted(-width, -k)
+        np.minimum(least[:n], _RANK[full[start[:n] + k]], out=least[:n])
+    out = np.empty(filled.shape, np.int64)
+    out[order] = _AT_RANK[np.arange(BINS), least]
+    return out
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """(lines, BINS) least hashes; each line has ``SHINGLE`` characters at least."""
     h, row = shingle_hashes(lines)
@@ -96,15 +120,12 @@ def signatures(lines: list[str]) -> np.ndarray:
     sig = sig.reshape(len(lines), BINS)
     filled = sig != none
     short = np.flatnonzero(~filled.all(axis=1))
-    # an empty bin takes the next filled one, around the end
-    place = np.where(filled[short], np.arange(BINS), 2 * BINS)
-    nxt = np.minimum.accumulate(np.concatenate([place, place + BINS], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :BINS] % BINS
-    sig[short] = np.take_along_axis(sig[short], nxt, axis=1)
+    sig[short] = np.take_along_axis(sig[short], _sources(filled[short]), axis=1)
     return sig
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) keys. The bins of a band lie far apart, so borrowed ones differ."""
+    """(lines, BANDS) keys."""
     bands = sig.reshape(len(sig), ROWS, BANDS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _M[0], (len(sig), BANDS)).copy()
     for k in range(ROWS):

@@ -243,6 +243,19 @@ def test_line_recall():
     assert total > 200 and found >= 0.99 * total
 
 
+@pytest.mark.parametrize("n", [9, 18, 27, 36, 45, 63, 90, 135, 270])
+def test_line_recall_by_length(n):
+    """Pairs of n shingles each at similarity exactly 0.8."""
+    rng = random.Random(n)
+    some = lambda k: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(k))
+    left = [some(n + 4) for _ in range(4000)]
+    right = [x[: -(n // 9)] + some(n // 9) for x in left]
+    a, b = (linededup.shingles(x[0]) for x in (left, right))
+    assert len(a) == len(b) == n and 10 * len(a & b) == 8 * len(a | b)
+    found = (linededup.band_keys(linededup.signatures(left)) == linededup.band_keys(linededup.signatures(right))).any(axis=1)
+    assert found.mean() > 0.993
+
+
 def test_large_bucket_in_tiles(spark):
     """A bucket above the tile size is verified whole."""
     rng = random.Random(10)
