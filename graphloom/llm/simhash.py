@@ -48,14 +48,17 @@ def simhash(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id long, fp long)``; fp holds the unsigned bits."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, version: bool = False) -> DataFrame:
+    """``(doc_id long, fp long)``; fp holds the unsigned bits. With ``version`` also a hash
+    of the text, ``version long``."""
+    more = [F.xxhash64(text_col).alias("version")] if version else []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([simhash(t, shingle) for t in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *(["version"] if version else [])])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    return arrow_map(rows, run, "doc_id long, fp long" + (", version long" if version else ""))
 
 
 def _blocks(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,20 +134,30 @@ def _links(distinct: DataFrame, radius: int) -> DataFrame:
     return arrow_map(tiles, meet, "p int, t int, q int, u int, side int, fps binary").groupBy("p", "t", "q", "u").applyInArrow(compare, "a long, b long")
 
 
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """``distinct(fp, least)`` with the ``root`` of each fingerprint's component."""
+    roots = written(components(_links(distinct.select("fp"), radius)), "simhash-roots")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: component_id is the smallest id among the
     documents reachable over links of ``radius`` or fewer differing bits."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = written(components(_links(distinct.select("fp"), radius)), "simhash-roots")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(distinct, radius)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the document with the
-    smallest id stays (one row of it). Documents without an id cannot be named and stay."""
-    keep = simhash_groups(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col].cast("long") == keep["__keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(docs[id_col].isNull()))
+    smallest id, then the smallest hash of its text, stays (one row of it). Rows that share
+    an id but not the text are documents of their own. Documents without an id cannot be
+    named and stay."""
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "version"))).alias("least")
+    distinct = written(fingerprints(docs, id_col, text_col, shingle, version=True).groupBy("fp").agg(least), "simhash-distinct")
+    keep = _rooted(distinct, radius).groupBy("root").agg(F.min("least").alias("least")).filter("least is not null").select(F.col("least.doc_id").alias("__doc"), F.col("least.version").alias("__version"))
+    rows = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__version": F.xxhash64(text_col)})
+    kept = rows.join(keep, ["__doc", "__version"], "left_semi").dropDuplicates(["__doc", "__version"])
+    return kept.unionByName(rows.filter("__doc is null")).select(*docs.columns)

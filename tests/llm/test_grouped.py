@@ -75,6 +75,14 @@ def test_simhash_groups(spark):
     assert kept.filter("doc_id is null").count() == 2
 
 
+def test_one_of_each_group_with_repeated_ids(spark):
+    rng = random.Random(31)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    rows = [(7, a), (7, b), (7, b), (3, b), (8, c), (8, d), (9, c), (2, e), (7, e), (7, "x"), (None, a)]
+    kept = simhash.one_of_each_group(frame(spark, [(*r, "en", "src0", 1) for r in rows])).select("doc_id", "text")
+    same(kept.collect(), [(7, a), (3, b), (8, c), (8, d), (2, e), (7, "x"), (None, a)])
+
+
 @pytest.mark.parametrize("n", [1, 5, 700])
 def test_tiles_lose_no_link(n, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 64)
