@@ -2,11 +2,13 @@
 
 A record is JSON of any layout. The set of its nested field paths (``messages[].role``)
 is hashed to a fingerprint, and the fingerprint selects a declarative mapping that says
-where turns, roles and texts are. Mapped turns are rendered in a template that marks
+where turns, roles and texts are; a path set with further fields goes to the first mapping
+whose required paths it holds. Mapped turns are rendered in a template that marks
 turns, with control strings inside texts escaped reversibly, together with the spans of
 the rendered text that carry loss (the texts of assistant turns).
 
-Defined results: null text and null role are empty; a record of unknown layout has no
+Defined results: null or missing texts and roles are empty; values that are not strings
+are rendered as JSON; a turn that is not an object is a text without a role; a record of unknown layout has no
 turns and an ``unknown`` layout; rows of one conversation are ordered by turn (null
 first), then role, then text, so ties and repeated rows have one result; a null
 conversation id is a conversation; an empty table gives an empty result; other columns
@@ -48,8 +50,8 @@ def fingerprint(found: set[str]) -> str:
 @dataclass(frozen=True)
 class Layout:
     """Either a list of turns under ``turns`` with ``role`` and ``text`` fields, or single
-    ``fields``, each with the role it speaks for, in order; empty optional ones are left out.
-    ``alike`` lists the other path sets that this layout also takes."""
+    ``fields``, each with the role it speaks for, in order; empty optional ones are left out. Other
+    fields of a record are let be."""
 
     name: str
     turns: str | None = None
@@ -68,10 +70,26 @@ class Layout:
             sets += [s | {o} for s in sets]
         return [fingerprint(s) for s in sets]
 
+    def takes(self, found: set[str]) -> bool:
+        """Whether the required paths are among those found."""
+        if self.turns:
+            return {f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"} <= found or f"{self.turns}[]" in found
+        return {f for f, _ in self.fields} - set(self.optional) <= found
+
     def map(self, record: dict) -> list[tuple[str, str]]:
         if self.turns:
-            return [(self.roles.get(t[self.role], t[self.role]) or "", t[self.text] or "") for t in record[self.turns]]
-        return [(role, record[f] or "") for f, role in self.fields if f in record and (record[f] or f not in self.optional)]
+            turns = [t if isinstance(t, dict) else {self.text: t} for t in record.get(self.turns, [])]
+            said = [(plain(t.get(self.role)), plain(t.get(self.text))) for t in turns]
+            return [(self.roles.get(role, role), text) for role, text in said]
+        said = [(f, role, plain(record.get(f))) for f, role in self.fields]
+        return [(role, text) for f, role, text in said if text or f not in self.optional]
+
+
+def plain(value) -> str:
+    """A text as it is, null and empty values as an empty one, other values as JSON."""
+    if isinstance(value, str):
+        return value
+    return "" if value is None or value == {} or value == [] else json.dumps(value, ensure_ascii=False)
 
 
 #: Mappings in use; more can be passed to the functions below.
@@ -84,14 +102,15 @@ LAYOUTS = (
 )
 
 
-def canonical(record_json: str | None, known: dict[str, Layout]) -> tuple[str, str, list[tuple[str, str]]]:
+def canonical(record_json: str | None, known: dict[str, Layout], layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[str, str, list[tuple[str, str]]]:
     """(fingerprint, layout name, turns) of one record."""
     try:
         record = json.loads(record_json) if record_json else {}
     except ValueError:
         record = {}
-    mark = fingerprint(paths(record))
-    layout = known.get(mark)
+    found = paths(record)
+    mark = fingerprint(found)
+    layout = known.get(mark) or next((x for x in layouts if x.takes(found)), None)
     if layout is None or not isinstance(record, dict):
         return mark, "unknown", []
     return mark, layout.name, layout.map(record)
@@ -145,7 +164,7 @@ def format_records(records: DataFrame, id_col: str, json_col: str, layouts: tupl
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, spans, names, marks = [], [], [], []
         for x in batch.column("record").to_pylist():
-            mark, name, turns = canonical(x, known)
+            mark, name, turns = canonical(x, known, layouts)
             text, loss = render(turns)
             texts.append(text)
             spans.append([{"start": s, "end": e} for s, e in loss])

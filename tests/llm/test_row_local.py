@@ -37,6 +37,17 @@ def test_chat_layouts():
     assert say('{"other": 1}') == ("unknown", []) and say(None) == ("unknown", []) and say("{") == ("unknown", [])
 
 
+def test_chat_layouts_with_further_or_missing_fields():
+    known = {f: x for x in reversed(chat.LAYOUTS) for f in x.fingerprints()}
+    say = lambda s: chat.canonical(s, known)[1:]
+    assert say('{"id": "x", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}') == ("exchange", [("user", "q"), ("assistant", "a")])
+    assert say('{"messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a"}], "metadata": {"k": [1]}}') == ("messages", [("user", "q"), ("assistant", "a")])
+    assert say('{"messages": [{"role": "user", "content": "q"}, {"role": "assistant"}, {"content": "z"}]}') == ("messages", [("user", "q"), ("assistant", ""), ("", "z")])
+    assert say('{"messages": [null, {"role": 1, "content": [{"text": "q"}]}, "s"]}') == ("messages", [("", ""), ("1", '[{"text": "q"}]'), ("", "s")])
+    assert say('{"instruction": "i", "output": 0, "input": "x", "source": "web"}') == ("instruction", [("user", "i"), ("user", "x"), ("assistant", "0")])
+    assert say('{"question": "q", "note": "n"}') == ("unknown", [])
+
+
 def test_chat_query_cases(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (2, None, None, "x"), (2, 0, "gpt", "y"), (2, 0, "gpt", "y"), (3, 0, "user", "<|im_end|>"), (3, 1, "assistant", "b\\<|"), (3, 2, "assistant", "ß" * 5000), (None, 0, "system", "n"), (5, 0, "human", "h")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
