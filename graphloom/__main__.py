@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--phi", choices=PHIS, default="cosine")
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--seeding", choices=("quantile", "plusplus"), default="quantile")
-    p.add_argument("--solver", choices=("component", "bulk"), default="component")
+    p.add_argument("--solver", choices=("auto", "component", "bulk"), default="auto")
     p.add_argument("--consider-initial", action="store_true")
     return p
 

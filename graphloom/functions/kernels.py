@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import Anchors
@@ -46,7 +47,10 @@ def stable_sigmoid(x: Column) -> Column:
 
 
 def cosine_sim_01(a: Column, b: Column) -> Column:
-    size = norm(a) * norm(b)
+    return _cosine(a, b, norm(a) * norm(b))
+
+
+def _cosine(a: Column, b: Column, size: Column) -> Column:
     raw = F.when(size > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size))).when(size.isNotNull(), F.lit(-1.0))
     return (raw + 1) / 2
 
@@ -71,6 +75,35 @@ def similarity(name: str, a: Column, b: Column) -> Column:
     return SIMILARITIES[name](a, b)
 
 
+def with_sizes(vectors: DataFrame, phi: str) -> DataFrame:
+    """``vectors(node, z)`` with what ``similarity_of`` needs of a vector, taken once for each:
+    ``x`` (the centered vector, for Pearson only) and ``size``, its norm."""
+    if phi == "pearson":
+        vectors = vectors.withColumn("x", centered(F.col("z")))
+    return vectors if phi == "sigmoid" else vectors.withColumn("size", norm(F.col("x" if phi == "pearson" else "z")))
+
+
+def similarity_of(phi: str, a: Column, b: Column) -> Column:
+    """``similarity`` of two rows of ``with_sizes``, as structs."""
+    if phi == "sigmoid":
+        return sigmoid_sim(a["z"], b["z"])
+    x = "x" if phi == "pearson" else "z"
+    return _cosine(a[x], b[x], a["size"] * b["size"])
+
+
+def interpolate(d: np.ndarray, anchors: Anchors) -> np.ndarray:
+    """``g_interp`` for many distances in memory."""
+    c, m = np.array(anchors.centers), np.array(anchors.means)
+    if not len(c):
+        return np.zeros_like(d)
+    if len(c) == 1:
+        return np.full_like(d, m[0])
+    i = np.clip(np.searchsorted(c, d, side="right"), 1, len(c) - 1)
+    gap = c[i] - c[i - 1]
+    t = np.where(gap > SAME_CENTER, np.clip((d - c[i - 1]) / np.where(gap > SAME_CENTER, gap, 1.0), 0.0, 1.0), 0.0)
+    return np.where(d <= c[0], m[0], np.where(d >= c[-1], m[-1], m[i - 1] + t * (m[i] - m[i - 1])))
+
+
 def g_interp(d: Column, anchors: Anchors) -> Column:
     """Piecewise linear over the anchors, flat outside; 0 without anchors. One CASE chain
     of at most 15 branches, so it stays inside code generation."""

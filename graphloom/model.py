@@ -64,12 +64,12 @@ class Config:
     g: int = 1
     seed: int = 42
     seeding: str = "quantile"
-    solver: str = "component"
+    solver: str = "auto"
     consider_initial: bool = False
     max_bgd_nodes: int = 5000
 
     def __post_init__(self) -> None:
-        for value, allowed, name in ((self.algorithm, ALGORITHMS, "algorithm"), (self.phi, PHIS, "phi"), (self.g, tuple(MODES), "g"), (self.seeding, ("quantile", "plusplus"), "seeding"), (self.solver, ("component", "bulk"), "solver")):
+        for value, allowed, name in ((self.algorithm, ALGORITHMS, "algorithm"), (self.phi, PHIS, "phi"), (self.g, tuple(MODES), "g"), (self.seeding, ("quantile", "plusplus"), "seeding"), (self.solver, ("auto", "component", "bulk"), "solver")):
             if value not in allowed:
                 raise ValueError(f"{name} is {value!r}; it can be {', '.join(map(str, allowed))}")
         if not self.sampling > 0:

@@ -1,8 +1,10 @@
 """Calibration of g(d): one-dimensional k-means of pair distances, the number of clusters
 by silhouette, the mean similarity of each cluster, linear interpolation in between.
 
-``distances(d, sim, ...)`` is a table. Assignment is a CASE over at most 14 midpoints, so
-a Lloyd step is one aggregation to 15 rows; the driver holds centers only.
+``distances(d, sim, ...)`` is a table. A Lloyd step over it is one aggregation to 15 rows
+(``lloyd_step``). The whole of a calibration runs on the sorted distances themselves: the
+method looks at ``PAIR_CAP`` pairs at most, 40 MB of doubles at any size of the graph, so
+they are collected once, and with prefix sums a round is a few binary searches.
 """
 
 from __future__ import annotations
@@ -59,23 +61,20 @@ def moved(centers: list[float], step: DataFrame) -> list[float]:
     return sorted(out)
 
 
-def kmeans(distances: DataFrame, centers: list[float], max_rounds: int) -> tuple[list[float], list[float]]:
-    """(centers, the centers whose midpoints made the last assignment).
+def kmeans(x: np.ndarray, centers: list[float], max_rounds: int) -> tuple[list[float], np.ndarray]:
+    """(centers, where the bins of the last assignment start and end) of sorted values.
 
-    Stops when a round, not the first, leaves every assignment as it was: the rows that
-    lie between the old and new midpoints are counted in the same pass as the sums."""
-    before: list[float] | None = None
-    for round_ in range(max_rounds):
-        now = K.bin_of(F.col("d"), midpoints(centers))
-        was = K.bin_of(F.col("d"), midpoints(before)) if before is not None else F.lit(-1)
-        rows = distances.groupBy(now.alias("c")).agg(F.avg("d").alias("center"), F.sum((now != was).cast("long")).alias("changed")).collect()
-        if round_ and not sum(r["changed"] for r in rows):
-            return centers, centers
-        before, nxt = centers, list(centers)
-        for r in rows:
-            nxt[r["c"]] = r["center"]
-        centers = sorted(nxt)
-    return centers, before if before is not None else centers
+    Stops when a round, not the first, leaves every assignment as it was. An empty bin keeps
+    its center; a value on a midpoint goes right."""
+    upto = np.concatenate([[0.0], np.cumsum(x)])
+    c, cuts = np.array(centers, float), None
+    for _ in range(max_rounds):
+        now = np.concatenate([[0], np.searchsorted(x, (c[:-1] + c[1:]) / 2), [len(x)]])
+        if cuts is not None and (now == cuts).all():
+            break
+        cuts, size = now, np.diff(now)
+        c = np.sort(np.where(size > 0, np.diff(upto[now]) / np.maximum(size, 1), c))
+    return c.tolist(), cuts
 
 
 def wcss(distances: DataFrame, centers: list[float]) -> DataFrame:
@@ -110,19 +109,6 @@ def silhouette(sample: DataFrame, bins: Column, k: int) -> DataFrame:
     return counted.select(s.alias("s"), (F.col("left").isNull() & F.col("right").isNull()).alias("only")).agg(score.alias("score"))
 
 
-def _local_kmeans(x: np.ndarray, centers: list[float], max_rounds: int) -> np.ndarray:
-    """Bin of each value after Lloyd rounds; the same rules as ``kmeans``."""
-    c, bins = np.array(centers), None
-    for _ in range(max_rounds):
-        now = np.searchsorted((c[:-1] + c[1:]) / 2, x, side="right")
-        if bins is not None and (now == bins).all():
-            break
-        bins = now
-        size = np.bincount(bins, minlength=len(c))
-        c = np.sort(np.where(size > 0, np.bincount(bins, x, len(c)) / np.maximum(size, 1), c))
-    return bins
-
-
 def local_silhouette(x: np.ndarray, bins: np.ndarray, k: int) -> float:
     """The score of ``silhouette`` for sorted values in memory."""
     n = len(x)
@@ -152,8 +138,9 @@ def best_k(sample: DataFrame, seeding: str = "quantile", seed: int = 42, k_min:
     x = rows["d"].to_numpy()
     best, best_score = CONSTANT_BINS, float("-inf")
     for k in range(k_min, k_max + 1):
-        centers = np.quantile(x, [(i + 0.5) / k for i in range(k)]).tolist() if seeding == "quantile" else local_plusplus(rows["r"].tolist(), x, k, seed)
-        score = local_silhouette(x, _local_kmeans(x, centers, SEARCH_ROUNDS), k)
+        centers = quantiles(x, k) if seeding == "quantile" else local_plusplus(rows["r"].tolist(), x, k, seed)
+        cuts = kmeans(x, centers, SEARCH_ROUNDS)[1]
+        score = local_silhouette(x, np.repeat(np.arange(k), np.diff(cuts)), k)
         if score > best_score:
             best, best_score = k, score
     return best
@@ -170,8 +157,9 @@ def local_plusplus(keys: list, x: np.ndarray, k: int, seed: int) -> list[float]:
     return sorted(centers)
 
 
-def seeds(distances: DataFrame, k: int, seeding: str, seed: int) -> list[float]:
-    return seed_quantile(distances, k) if seeding == "quantile" else seed_plusplus(distances, k, seed)
+def quantiles(x: np.ndarray, k: int) -> list[float]:
+    """``seed_quantile`` of sorted values."""
+    return np.quantile(x, [(i + 0.5) / k for i in range(k)]).tolist()
 
 
 def bin_means(distances: DataFrame, centers: list[float]) -> DataFrame:
@@ -194,11 +182,11 @@ def pair_distances(vectors: DataFrame, config: Config) -> DataFrame:
     n = vectors.count()
     wanted, exhaustive = P.sample_size(n, config.sampling)
     if exhaustive:
-        pairs = P.pair_rows(P.all_pairs(vectors, blocks=max(1, -(-n // P.BLOCK))), config.phi)
+        pairs = P.pair_rows(vectors, config.phi)
         return pairs.select(F.concat_ws(":", "u", "v").alias("r"), "d", "sim")
-    found = P.sampled_pairs(vectors, wanted, config.seed, n)
-    a, b = F.col("a.z"), F.col("b.z")
-    return found.select(F.col("r").cast("string").alias("r"), K.vec_dist(a, b).alias("d"), K.similarity(config.phi, a, b).alias("sim"))
+    found = P.sampled_pairs(K.with_sizes(vectors.select("node", "z"), config.phi), wanted, config.seed, n)
+    sim = K.similarity_of(config.phi, F.col("a"), F.col("b"))
+    return found.select(F.col("r").cast("string").alias("r"), K.vec_dist(F.col("a.z"), F.col("b.z")).alias("d"), sim.alias("sim"))
 
 
 def calibrate(vectors: DataFrame, config: Config) -> tuple[Anchors, int]:
@@ -212,5 +200,6 @@ def calibrate(vectors: DataFrame, config: Config) -> tuple[Anchors, int]:
     if not n:
         return Anchors(), 0
     k = best_k(sample, config.seeding, config.seed) if n > K_MIN else 1
-    centers, _ = kmeans(distances, seeds(distances, k, config.seeding, config.seed), FINAL_ROUNDS)
-    return anchors_of(distances, centers), k
+    x = np.sort(distances.select("d").toArrow()["d"].to_numpy())  # PAIR_CAP values at most
+    start = quantiles(x, k) if config.seeding == "quantile" else seed_plusplus(distances, k, config.seed)
+    return anchors_of(distances, kmeans(x, start, FINAL_ROUNDS)[0]), k

@@ -50,10 +50,10 @@ def reweight(adjacency: DataFrame, vectors: DataFrame, phi: str, mode: str = "km
     """``adjacency`` with ``sim`` (similarity of the endpoints) and ``w_uv`` (weight times
     similarity; the plain weight in mode nophi). Two equi-joins on node; Spark broadcasts
     the vectors only if their measured size is under its threshold."""
-    a = vectors.select(F.col("node").alias("src"), F.col("z").alias("zu"))
-    b = vectors.select(F.col("node").alias("dst"), F.col("z").alias("zv"))
-    joined = adjacency.join(a, "src").join(b, "dst")
-    out = joined.select("src", "dst", "weight", K.similarity(phi, F.col("zu"), F.col("zv")).alias("sim"))
+    sized = K.with_sizes(vectors.select("node", "z"), phi)
+    side = lambda end, name: sized.select(F.col("node").alias(end), F.struct(*sized.columns[1:]).alias(name))
+    joined = adjacency.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+    out = joined.select("src", "dst", "weight", K.similarity_of(phi, F.col("a"), F.col("b")).alias("sim"))
     w = F.col("weight") if mode == "nophi" else F.col("weight") * F.col("sim")
     return out.withColumn("w_uv", w)
 

@@ -1,21 +1,36 @@
 """Pairs of nodes: all of them, or a seeded sample.
 
-``vectors(node, z)``. All pairs come from a blocked equi-join: nodes are dealt to blocks,
-and each pair of blocks is a join key of its own, so nothing is broadcast and the work
-spreads evenly. Samples come from md5 of (seed, draw), so every engine draws the same.
+``vectors(node, z)``. All pairs are worked out a pair of blocks at a time: nodes are dealt
+to blocks by a hash, a block is one row with its vectors packed, each pair of blocks meets
+in one place (a pair (i, j) with i <= j once), and numpy works on the two matrices. The
+number of blocks follows the number of rows and the cores, the pairs of blocks are spread
+over tasks by an explicit repartition, and only what the caller's function returns leaves
+a pair of blocks: a sum, the pairs over a threshold, the nearest few. Sums over dimensions
+run in order, one dimension at a time, so a value does not depend on where its pair is.
+
+Samples come from md5 of (seed, draw), so every engine draws the same.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import kernels as K
 from graphloom.operators.numbering import dense_number
+from graphloom.storage import partitions
 
 PAIR_CAP = 5_000_000
 SUBSAMPLE_CAP = 5_000
-BLOCK = 2_000
+#: Rows of a block, and the fewest for which a block is cut to give more cores work.
+BLOCK, LEAST_BLOCK = 1_024, 128
+#: Rows of a block that are worked on at a time, and chunks in which draws are counted.
+TILE, DRAW_CHUNKS = 256, 4_096
 
 
 def sample_size(n: int, sampling: float, cap: int = PAIR_CAP) -> tuple[int, bool]:
@@ -25,20 +40,183 @@ def sample_size(n: int, sampling: float, cap: int = PAIR_CAP) -> tuple[int, bool
     return (every, True) if every <= wanted else (wanted, False)
 
 
-def all_pairs(rows: DataFrame, key: str = "node", within: str | None = None, blocks: int = 4) -> DataFrame:
-    """Pairs of rows with ``a.key < b.key`` (and equal ``within``), as structs ``a`` and ``b``."""
-    block = F.pmod(F.xxhash64(key), F.lit(blocks))
-    dealt = rows.select(F.struct(*rows.columns).alias("r"), block.alias("k"), *([F.col(within).alias("w")] if within else []))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.select(F.col("r").alias("a"), F.col("k").alias("i"), other.alias("j"), *(["w"] if within else []))
-    right = dealt.select(F.col("r").alias("b"), F.col("k").alias("j"), other.alias("i"), *(["w"] if within else []))
-    return left.join(right, ["i", "j", *(["w"] if within else [])]).filter(F.col(f"a.{key}") < F.col(f"b.{key}")).select("a", "b")
+class Block:
+    """Rows of a block in order of node: ``node``, ``z`` (a matrix) and the other columns by name."""
+
+    def __init__(self, rows: pa.StructScalar) -> None:
+        fields = rows.values
+        order = np.argsort(fields.field("node").to_numpy(zero_copy_only=False), kind="stable")
+        self.columns = {f.name: fields.field(f.name).to_numpy(zero_copy_only=False)[order] for f in fields.type if f.name != "z"}
+        self.node = self.columns["node"]
+        flat = fields.field("z").flatten().to_numpy(zero_copy_only=False)
+        self.z = flat.reshape(len(order), -1)[order]
+
+    def __len__(self) -> int:
+        return len(self.node)
+
+
+def _summed(a: np.ndarray, b: np.ndarray, step: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+    out, columns = np.zeros((len(a), len(b))), np.ascontiguousarray(b.T)
+    for i in range(0, len(a), TILE):
+        part, acc = a[i : i + TILE], out[i : i + TILE]
+        held = np.empty_like(acc)
+        for d in range(a.shape[1]):
+            step(part[:, d, None], columns[d][None, :], held)
+            acc += held
+    return out
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of all rows of a with all rows of b."""
+    return _summed(a, b, lambda x, y, out: np.multiply(x, y, out=out))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of a from all rows of b."""
+
+    def step(x: np.ndarray, y: np.ndarray, out: np.ndarray) -> None:
+        np.subtract(x, y, out=out)
+        np.multiply(out, out, out=out)
+
+    return np.sqrt(_summed(a, b, step))
+
+
+def similarities(phi: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As ``kernels.similarity``, for all rows of a with all rows of b."""
+    if phi == "sigmoid":
+        x = dots(a, b)
+        e = np.exp(-np.abs(x))
+        return np.where(x >= 0, 1 / (1 + e), e / (1 + e))
+    if phi == "pearson":
+        a, b = (x - (np.cumsum(x, axis=1)[:, -1:] / x.shape[1]) for x in (a, b))
+    norm = lambda x: np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+    size = norm(a)[:, None] * norm(b)[None, :]
+    raw = np.clip(dots(a, b) / np.where(size > 0, size, 1.0), -1.0, 1.0)
+    return (np.where(size > 0, raw, -1.0) + 1) / 2
+
+
+def _blocks(rows: DataFrame, within: str | None, size: int) -> tuple[DataFrame, int | None]:
+    """``(w, n, i, rows)``: block i of the n of group w; and n where there are no groups."""
+    n, r = None, F.struct("node", "z", *[c for c in rows.columns if c not in ("node", "z")]).alias("r")
+    if within is None:
+        n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+        n = max(1, -(-n // size), min(-(-n // LEAST_BLOCK), math.isqrt(4 * cores) + 1))
+        dealt = rows.select(F.lit(0).cast("long").alias("w"), F.lit(n).alias("n"), r)
+    else:
+        sizes = rows.groupBy(F.col(within).alias("w")).agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
+        dealt = rows.join(sizes, F.col(within) == F.col("w")).select(F.col("w").cast("long").alias("w"), "n", r)
+    return dealt.groupBy("w", "n", F.pmod(F.xxhash64("r.node"), F.col("n")).cast("int").alias("i")).agg(F.collect_list("r").alias("rows")), n
+
+
+def _met(blocks: DataFrame, meetings: int | None, fn: Callable[[Block, Block, bool], pa.Table | None], schema: str) -> DataFrame:
+    """``fn`` of every two blocks of ``(w, p, q, side, rows)`` with one (w, p, q)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held = None, None
+        for batch in batches:
+            w, p, q, side = (batch.column(c).to_pylist() for c in ("w", "p", "q", "side"))
+            for k, rows in enumerate(batch.column("rows")):
+                where, block = (w[k], p[k], q[k]), Block(rows)
+                out = None
+                if side[k] == 2:
+                    out = fn(block, block, True)
+                elif side[k] == 0:
+                    first, held = where, block
+                elif first == where:
+                    out = fn(held, block, False)
+                if out is not None:
+                    yield from out.to_batches()
+
+    spark = blocks.sparkSession
+    tasks = max(partitions(spark), spark.sparkContext.defaultParallelism) * (16 if meetings else 4)
+    spread = blocks.repartition(min(tasks, 2 * meetings) if meetings else tasks, "w", "p", "q")
+    return spread.sortWithinPartitions("w", "p", "q", "side").mapInArrow(run, schema)
+
+
+def pairs_of_blocks(rows: DataFrame, fn: Callable[[Block, Block, bool], pa.Table | None], schema: str, within: str | None = None, size: int = BLOCK) -> DataFrame:
+    """The tables that ``fn(a, b, same)`` returns for every two blocks of ``rows(node, z, ...)``
+    (of one value of ``within``), and for each block with itself (``same``). Rows without a
+    vector or a node are left out."""
+    blocks, n = _blocks(rows.filter("node is not null and z is not null"), within, size)
+    i, j = F.col("i"), F.col("j")
+    meets = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    side = F.when(i == j, 2).otherwise((i > j).cast("int"))
+    return _met(meets.select("w", F.least(i, j).alias("p"), F.greatest(i, j).alias("q"), side.alias("side"), "rows"), n and n * (n + 1) // 2, fn, schema)
+
+
+def pairs_across(left: DataFrame, right: DataFrame, fn: Callable[[Block, Block, bool], pa.Table | None], schema: str, size: int = BLOCK) -> DataFrame:
+    """As ``pairs_of_blocks`` for every block of ``left`` with every block of ``right``."""
+    (one, m), (two, n) = (_blocks(x.filter("node is not null and z is not null"), None, size) for x in (left, right))
+    every_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    one = one.select("w", F.col("i").alias("p"), every_of(n).alias("q"), F.lit(0).alias("side"), "rows")
+    two = two.select("w", every_of(m).alias("p"), F.col("i").alias("q"), F.lit(1).alias("side"), "rows")
+    return _met(one.unionByName(two), m * n, fn, schema)
 
 
-def pair_rows(pairs: DataFrame, phi: str) -> DataFrame:
-    """``(u, v, d, sim)`` of pairs of structs with node and z."""
-    a, b = F.col("a.z"), F.col("b.z")
-    return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), K.vec_dist(a, b).alias("d"), K.similarity(phi, a, b).alias("sim"))
+def every(a: Block, b: Block, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in a and b of all pairs, of a block with itself each once."""
+    if same:
+        return np.triu_indices(len(a), 1)
+    return np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+
+
+def ends(a: Block, b: Block, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) of pairs at positions i in a and j in b, u the smaller."""
+    x, y = a.node[i], b.node[j]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def pair_rows(vectors: DataFrame, phi: str, size: int = BLOCK) -> DataFrame:
+    """``(u, v, d, sim)`` of all pairs, u < v."""
+
+    def run(a: Block, b: Block, same: bool) -> pa.Table:
+        i, j = every(a, b, same)
+        u, v = ends(a, b, i, j)
+        return pa.table({"u": u, "v": v, "d": distances(a.z, b.z)[i, j], "sim": similarities(phi, a.z, b.z)[i, j]})
+
+    return pairs_of_blocks(vectors.select("node", "z"), run, "u long, v long, d double, sim double", size=size)
+
+
+def cosines(a: Block, b: Block) -> np.ndarray:
+    """Cosines of all rows of a with all rows of b; norms are taken once a vector."""
+    norm = lambda x: np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+    with np.errstate(invalid="ignore"):  # a zero vector has no cosine
+        return dots(a.z, b.z) / (norm(a.z)[:, None] * norm(b.z)[None, :])
+
+
+def cosine_over(vectors: DataFrame, least: float, size: int = BLOCK) -> DataFrame:
+    """``(u, v, cos)`` of the pairs, u < v, with a cosine of ``least`` or more; no other pair
+    leaves its blocks."""
+
+    def run(a: Block, b: Block, same: bool) -> pa.Table:
+        cos = cosines(a, b)
+        i, j = np.nonzero(np.triu(cos >= least, 1) if same else cos >= least)
+        u, v = ends(a, b, i, j)
+        return pa.table({"u": u, "v": v, "cos": cos[i, j]})
+
+    return pairs_of_blocks(vectors.select("node", "z"), run, "u long, v long, cos double", size=size)
+
+
+def nearest(vectors: DataFrame, k: int, within: str | None = None, size: int = BLOCK) -> DataFrame:
+    """``(u, v, cos)``: for each u at least the k others of largest cosine (ties by smaller v),
+    k of each block that it meets; the caller ranks them."""
+
+    def best(x: Block, y: Block, cos: np.ndarray) -> pa.Table:
+        order = np.argsort(-cos, axis=1, kind="stable")[:, :k]  # columns are in order of node
+        i = np.repeat(np.arange(len(x)), order.shape[1])
+        j = order.ravel()
+        found = np.isfinite(cos[i, j])
+        i, j = i[found], j[found]
+        return pa.table({"u": x.node[i], "v": y.node[j], "cos": cos[i, j]})
+
+    def run(a: Block, b: Block, same: bool) -> pa.Table:
+        cos = cosines(a, b)
+        if same:
+            np.fill_diagonal(cos, -np.inf)
+            return best(a, b, cos)
+        return pa.concat_tables([best(a, b, cos), best(b, a, cos.T)])
+
+    return pairs_of_blocks(vectors.select("node", "z", *([within] if within else [])), run, "u long, v long, cos double", within, size)
 
 
 def _hex8(text: Column) -> Column:
@@ -50,23 +228,40 @@ def draw(seed: int, r: Column, side: str, n: int) -> Column:
     return F.pmod(_hex8(F.concat(F.lit(f"{seed}:"), r.cast("string"), F.lit(f":{side}"))), F.lit(n))
 
 
+def _last_draw(draws: Callable[[int], DataFrame], wanted: int, n: int) -> tuple[int, int]:
+    """(length of a range of draws that suffices, the ``wanted``-th draw that counts).
+
+    Draws are counted by chunks of the range; only the chunk with the last one is sorted."""
+    spare = int(wanted * n / (n - 1) * 1.1) + 64
+    while True:
+        chunk = -(-spare // DRAW_CHUNKS)
+        counts = sorted((r["c"], r["n"]) for r in draws(spare).groupBy(F.floor(F.col("r") / chunk).alias("c")).agg(F.count("*").alias("n")).collect())  # DRAW_CHUNKS rows at most
+        left = wanted
+        for c, count in counts:
+            if left <= count:
+                inside = draws(spare).filter((F.col("r") >= c * chunk) & (F.col("r") < (c + 1) * chunk))
+                return spare, sorted(r["r"] for r in inside.select("r").collect())[left - 1]  # one chunk
+            left -= count
+        spare *= 2
+
+
 def sampled_pairs(vectors: DataFrame, wanted: int, seed: int, n: int | None = None) -> DataFrame:
-    """``(r, a, b)``: ``wanted`` draws of two nodes with replacement, in the order of r.
+    """``(r, a, b)``: ``wanted`` draws of two nodes with replacement, the first by r.
 
-    Draws of a node with itself are dropped, and later draws take their place: the range
-    has enough spare draws for that (at two nodes half of all draws fail). One node or
-    none gives no pairs."""
+    Draws of a node with itself are dropped, and later draws take their place. One node or
+    none gives no pairs. Other columns of ``vectors`` come along in ``a`` and ``b``."""
     n = vectors.count() if n is None else n
     if n < 2 or wanted < 1:
-        return vectors.limit(0).select(F.lit(0).cast("long").alias("r"), F.struct("node", "z").alias("a"), F.struct("node", "z").alias("b"))
-    spare = int(wanted * n / (n - 1) * 1.1) + 64
-    draws = vectors.sparkSession.range(spare).select(F.col("id").alias("r"))
-    draws = draws.withColumn("i", draw(seed, F.col("r"), "u", n)).withColumn("j", draw(seed, F.col("r"), "v", n)).filter("i <> j")
-    # the draws that count are the first `wanted`: their number is known from a prefix of the range
-    numbered = dense_number(vectors.select("node", "z"), "node", name="number")
-    side = lambda s, k: numbered.select(F.col("number").alias(k), F.struct("node", "z").alias(s))
-    cut = draws.orderBy("r").limit(wanted)
-    return cut.join(side("a", "i"), "i").join(side("b", "j"), "j").select("r", "a", "b")
+        return vectors.limit(0).select(F.lit(0).cast("long").alias("r"), F.struct(*vectors.columns).alias("a"), F.struct(*vectors.columns).alias("b"))
+
+    def draws(length: int) -> DataFrame:
+        rows = vectors.sparkSession.range(length).select(F.col("id").alias("r"))
+        return rows.withColumn("i", draw(seed, F.col("r"), "u", n)).withColumn("j", draw(seed, F.col("r"), "v", n)).filter("i <> j")
+
+    length, last = _last_draw(draws, wanted, n)
+    numbered = dense_number(vectors, "node", name="number")
+    side = lambda s, k: numbered.select(F.col("number").alias(k), F.struct(*vectors.columns).alias(s))
+    return draws(length).filter(F.col("r") <= last).join(side("a", "i"), "i").join(side("b", "j"), "j").select("r", "a", "b")
 
 
 def subsample(distances: DataFrame, cap: int = SUBSAMPLE_CAP, seed: int = 42, key: str = "r") -> DataFrame:

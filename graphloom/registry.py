@@ -102,7 +102,7 @@ def weighted_totals(spark, sf):
 
 
 def pairs_exhaustive(spark, sf):
-    return P.pair_rows(P.all_pairs(derived.embeddings(spark, sf)), "cosine").select("u", "v", rnd("d").alias("d"), rnd("sim").alias("sim"))
+    return P.pair_rows(derived.embeddings(spark, sf), "cosine").select("u", "v", rnd("d").alias("d"), rnd("sim").alias("sim"))
 
 
 def _sample(spark, sf, wanted: int = O.SAMPLE_DRAWS) -> DataFrame:

@@ -14,8 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import kernels as K
-from graphloom.operators.pairs import all_pairs
+from graphloom.operators.pairs import cosine_over, nearest
 from graphloom.storage import table
 
 NEIGHBOURS = 10
@@ -26,16 +25,9 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("z"))
 
 
-def _cosines(vectors: DataFrame, within: str | None = None) -> DataFrame:
-    """``(u, v, cos)`` for u < v; norms are taken once a vector."""
-    rows = vectors.withColumn("size", K.norm(F.col("z")))
-    pairs = all_pairs(rows, within=within)
-    return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), (K.dot(F.col("a.z"), F.col("b.z")) / (F.col("a.size") * F.col("b.size"))).alias("cos"))
-
-
 def threshold_graph(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
     """``(u, v, weight)`` of T35 or T40."""
-    return _cosines(embeddings(spark, sf_dir)).filter(F.col("cos") >= least).select("u", "v", F.lit(1.0).alias("weight"))
+    return cosine_over(embeddings(spark, sf_dir), least).select("u", "v", F.lit(1.0).alias("weight"))
 
 
 def neighbour_graph(spark: SparkSession, sf_dir: str, groups: int | None = 5) -> DataFrame:
@@ -43,10 +35,9 @@ def neighbour_graph(spark: SparkSession, sf_dir: str, groups: int | None = 5) ->
     vectors = embeddings(spark, sf_dir)
     if groups:
         vectors = vectors.withColumn("part", F.col("node") % groups)
-    near = _cosines(vectors, "part" if groups else None)
-    both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos"))
+    near = nearest(vectors, NEIGHBOURS, "part" if groups else None)
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("cos"), "v"))
-    best = both.withColumn("rank", rank).filter(F.col("rank") <= NEIGHBOURS)
+    best = near.withColumn("rank", rank).filter(F.col("rank") <= NEIGHBOURS)
     return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumn("weight", F.lit(1.0))
 
 

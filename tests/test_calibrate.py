@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,14 +25,38 @@ def test_sample_size():
     assert P.sample_size(1, 0.3)[0] == 0 and P.sample_size(2, 0.3) == (0, False)
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 7])
-def test_all_pairs_once(spark, blocks):
-    got = P.all_pairs(vectors(spark, 23), blocks=blocks).select("a.node", "b.node").collect()
-    assert len(got) == len({tuple(r) for r in got}) == 253 and all(a < b for a, b in got)
-    parted = vectors(spark, 23).withColumn("part", F.col("node") % 3)
-    got = P.all_pairs(parted, within="part", blocks=blocks).select("a.node", "b.node").collect()
-    want = {(a, b) for a in range(0, 230, 10) for b in range(a + 10, 230, 10) if a % 3 == b % 3}
-    assert len(got) == len(want) and {tuple(r) for r in got} == want
+@pytest.mark.parametrize("size", [4, 9, 1024])
+def test_all_pairs_once(spark, size):
+    v = vectors(spark, 23).unionByName(spark.createDataFrame([(999, None)], "node long, z array<double>"))
+    z = {r["node"]: np.array(r["z"]) for r in v.filter("z is not null").collect()}
+    ids = sorted(z)
+    cos = lambda a, b: float(z[a] @ z[b] / np.linalg.norm(z[a]) / np.linalg.norm(z[b]))
+    every = {(a, b) for a in ids for b in ids if a < b}
+    got = P.pair_rows(v, "cosine", size).collect()
+    assert len(got) == 253 and {(r["u"], r["v"]) for r in got} == every
+    for r in got:
+        assert (r["d"], r["sim"]) == pytest.approx((np.linalg.norm(z[r["u"]] - z[r["v"]]), (cos(r["u"], r["v"]) + 1) / 2))
+    assert {(r["u"], r["v"]) for r in P.cosine_over(v, 0.3, size).collect()} == {(a, b) for a, b in every if cos(a, b) >= 0.3}
+    for within in (None, "part"):
+        near = P.nearest(v.withColumn("part", F.col("node") % 3), 4, within, size).collect()
+        assert len(near) == len({(r["u"], r["v"]) for r in near})
+        for u in ids:
+            best = sorted((b for b in ids if b != u and (within is None or u % 3 == b % 3)), key=lambda b: (-cos(u, b), b))[:4]
+            assert [r["v"] for r in sorted((r for r in near if r["u"] == u), key=lambda r: (-r["cos"], r["v"]))][:4] == best
+    pair = lambda a, b, same: pa.table({"u": np.repeat(a.node, len(b)), "v": np.tile(b.node, len(a))})
+    across = P.pairs_across(v.filter("node < 90"), v.filter("node >= 90"), pair, "u long, v long", size).collect()
+    assert sorted(map(tuple, across)) == [(a, b) for a in ids for b in ids if a < 90 <= b]
+
+
+@pytest.mark.parametrize("phi", ["cosine", "pearson", "sigmoid"])
+def test_matrix_similarities(spark, phi):
+    rng = np.random.default_rng(5)
+    rows = [(i, z) for i, z in enumerate([[0.0] * 4, [2.0] * 4, *rng.normal(size=(5, 4)).tolist()])]
+    df = K.with_sizes(spark.createDataFrame(rows, "node long, z array<double>"), phi)
+    both = df.select(F.struct(*df.columns).alias("a")).crossJoin(df.select(F.struct(*df.columns).alias("b")))
+    want = P.similarities(phi, *[np.array([z for _, z in rows])] * 2)
+    for r in both.select("a.node", F.col("b.node").alias("other"), K.similarity_of(phi, F.col("a"), F.col("b")).alias("x"), K.similarity(phi, F.col("a.z"), F.col("b.z")).alias("y")).collect():
+        assert r["x"] == r["y"] == pytest.approx(want[r["node"], r["other"]])
 
 
 def test_sampled_pairs(spark):
@@ -73,10 +98,16 @@ def test_kmeans(spark):
     rng = np.random.default_rng(2)
     x = np.sort(np.concatenate([rng.normal(c, 0.05, 40) for c in (1.0, 2.0, 4.0)]))
     df = spark.createDataFrame([(str(i), float(v), float(v) / 2) for i, v in enumerate(x)], "r string, d double, sim double")
-    centers, _ = A.kmeans(df, A.seed_quantile(df, 3), 50)
+    start = A.seed_quantile(df, 3)
+    assert start == pytest.approx(A.quantiles(x, 3))
+    centers, cuts = A.kmeans(x, start, 50)
     assert centers == pytest.approx([1.0, 2.0, 4.0], abs=0.05)
-    bins = A._local_kmeans(x, np.quantile(x, [1 / 6, 0.5, 5 / 6]).tolist(), 50)
-    assert [x[bins == c].mean() for c in range(3)] == pytest.approx(centers)
+    assert [x[a:b].mean() for a, b in zip(cuts, cuts[1:])] == pytest.approx(centers)
+    assert A.kmeans(x, centers, 50)[0] == pytest.approx(centers)  # settled: nothing moves
+    moved = A.seed_quantile(df, 3)
+    for rounds in range(1, 6):  # the same rounds as the table's
+        moved = A.moved(moved, A.lloyd_step(df, moved))
+        assert A.kmeans(x, start, rounds)[0] == pytest.approx(moved)
     assert A.best_k(df) == A.best_k(df, "plusplus") == 3
     assert A.seed_plusplus(df, 3, 7) == pytest.approx(A.local_plusplus([str(i) for i in range(len(x))], x, 3, 7))
     # an empty bin keeps its center, and its mean is that of the bin before it

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import kernels as K
 from graphloom.model import Anchors, Config
-from graphloom.plans.mga import interpolate
+from graphloom.functions.kernels import interpolate
 
 PAIRS = [([1.0, 2.0, 3.0], [3.0, -1.0, 0.5]), ([0.0, 0.0, 0.0], [1.0, 2.0, 3.0]), ([0.0] * 3, [0.0] * 3), ([1e-200] * 3, [1e-200] * 3), ([2.0, 2.0, 2.0], [1.0, 5.0, 2.0]), ([1.0, 0.0, 0.0], [-1.0, 0.0, 0.0]), ([400.0, 0.0, 0.0], [-400.0, 0.0, 1.0]), ([400.0, 0.0, 0.0], [400.0, 0.0, 1.0]), ([0.1, 0.2, 0.3], [0.1, 0.2, 0.3])]
 
