@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import components as graph_components
-from graphloom.storage import fresh_path, partitions, shared_dir, table, written
+from graphloom.storage import fresh_path, shared_dir, table, written
 
 #: White space that separates words, as a character class body for Java, RE2 and Python.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -56,14 +56,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE_CLASS}]+")), F.lit(0)).cast("long")
 
 
-def in_batches(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> DataFrame:
-    """``(batch, packed)``: documents dealt to batches, read back by ``unpacked``.
+def in_batches(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> tuple[DataFrame, int]:
+    """``(batch, packed)``, partitioned by batch and read back by ``unpacked``; and the number
+    of batches.
 
     Batches hold about ``batch_bytes`` of text each, whatever the input size; a hash of
     id and text deals them, so one hot source or group of copies does not fill one. Texts
     of a batch are packed and compressed together before they are shuffled."""
     total = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    n = max(partitions(docs.sparkSession), -(-int(total) // batch_bytes))
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(total) // batch_bytes))
     batch = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int")
     rows = docs.select(batch.alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -94,7 +95,7 @@ def in_batches(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int) ->
         if held:
             yield flush()
 
-    return rows.mapInArrow(pack, "batch int, packed binary")
+    return rows.mapInArrow(pack, "batch int, packed binary").repartition(n, "batch"), n
 
 
 def unpacked(table: pa.Table) -> pa.Table:
@@ -110,4 +111,4 @@ def components(edges: DataFrame) -> DataFrame:
     return found.select("node", F.col("component").alias("root"))
 
 
-__all__ = ["arrow_map", "as_bytes", "components", "fresh_path", "in_batches", "partitions", "shared_dir", "table", "unpacked", "word_count", "written"]
+__all__ = ["arrow_map", "as_bytes", "components", "fresh_path", "in_batches", "shared_dir", "table", "unpacked", "word_count", "written"]

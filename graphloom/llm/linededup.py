@@ -10,22 +10,27 @@ document id, then line number), the others go.
 2. Banding: 20 bands of 6 bins; a pair at similarity 0.8 shares a band with probability
    0.998, at 0.85 with 0.9999.
 3. Verification: lines of one band bucket come together with their texts, and the
-   similarity of pairs is computed on the whole shingle sets (as 64-bit hashes). Pairs that are connected already
-   are skipped, so a bucket returns a spanning forest of its links and never all pairs.
-   A bucket of more than ``tile`` lines is cut in tiles, and each pair of tiles is verified
-   by itself: no line is dropped from a bucket of any size.
+   similarity of pairs is computed on the whole shingle sets. Pairs that are connected
+   already are skipped, so a bucket returns a spanning forest of its links and never all
+   pairs. A bucket of more than ``tile`` lines is verified in tiles; then one line of each
+   component meets the others of its bucket; then tiles that are not connected yet meet
+   pair by pair. No line is dropped from a bucket of any size.
 4. Union-find: distributed star contraction over the verified links.
 
-Equal lines are one line (by 64-bit XXH3) before all this. Blank lines are no lines.
-Lines of fewer than 5 characters are alike only if equal.
+Equal lines are one line before all this: a line's name is its XXH3 of 128 bits. Band
+buckets and links carry 64 of them, links the others as well, so that a line is only taken
+for one of a component if all 128 agree. Blank lines are no lines. Lines of fewer than 5
+characters are alike only if equal.
 
 Defined results: null text has no lines; a null id is larger than any id; rows that share
 id and text are one document and get the same answer; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored (``without_alike_lines`` keeps them).
 
-Scale: documents are dealt to batches by a hash; band keys travel once for each distinct
-line of a batch; texts travel only for lines in buckets with two lines, once for each
-distinct set of lines. Per-line decisions are narrow rows, pre-aggregated by line.
+Scale: documents are dealt to batches by a hash, and band keys to as many parts as there
+are batches, both of a fixed size; band keys travel once for each distinct line of a batch;
+texts travel only for lines in buckets with two lines, once for each distinct set of lines,
+and from any of the batches that have the line. Per-line decisions are narrow rows,
+pre-aggregated by line.
 """
 
 from __future__ import annotations
@@ -36,13 +41,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_map, as_bytes, components, in_batches, partitions, unpacked, written
+from .common import NO_ID, arrow_map, as_bytes, components, in_batches, unpacked, written
 
 SHINGLE, BINS, ROWS = 5, 120, 6
 BANDS = BINS // ROWS
 TILE = 2048
-#: Groups over which the sets of one lead are spread, so that a line with very many of them is not one task.
+#: Groups over which the sets of one lead are spread.
 SALT = 4
+#: Alphabets of which a shingle's code fits 64 bits.
+MOST_CHARACTERS = int(2 ** (64 / SHINGLE))
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 CHUNK = 1 << 20
 #: [r, j]: bin that comes at place r in the order of bin j, itself first; and its inverse, [bin, j].
@@ -56,12 +63,16 @@ def lines_of(text: bytes) -> list[tuple[int, bytes]]:
     return [(i, x) for i, x in enumerate(text.split(b"\n")) if x and not x.isspace()]
 
 
-def line_id(line: bytes) -> int:
-    """Signed 64-bit name of a line."""
-    h = xxhash.xxh3_64_intdigest(line)
+def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def line_id(line: bytes) -> tuple[int, int]:
+    """The two signed 64-bit halves of a line's name."""
+    h = xxhash.xxh3_128_intdigest(line)
+    return _signed(h & 0xFFFFFFFFFFFFFFFF), _signed(h >> 64)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _M[1]
     h = (h ^ (h >> np.uint64(27))) * _M[2]
@@ -134,7 +145,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _distinct(texts: list[bytes]) -> dict[int, bytes]:
-    return {line_id(x): x for t in texts for _, x in lines_of(t)}
+    return {line_id(x)[0]: x for x in {x for t in texts for _, x in lines_of(t)}}
 
 
 def _batch_bands(table: pa.Table, parts: int) -> pa.Table:
@@ -165,39 +176,41 @@ def _batch_bands(table: pa.Table, parts: int) -> pa.Table:
 
 
 def _buckets(table: pa.Table, tile: int) -> pa.Table:
-    """Of one part the sets of lines to verify together: buckets of two lines or more,
-    larger ones as pairs of tiles. A set is named by a hash of its members."""
+    """Of one part the sets of lines to verify together: buckets of two lines or more, larger
+    ones in tiles, with the bucket's key as ``hot`` and the tile's number. A set is named by a
+    hash of its members. A line that several batches have is asked of any of them."""
     each = [(b, np.frombuffer(k, np.uint64), np.frombuffer(i, np.int64)) for b, k, i in zip(*(table[c].to_pylist() for c in ("batch", "keys", "ids")))]
+    names, kinds = ("name", "ids", "batches", "hot", "tile"), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32())
+    if not each:
+        return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
     key, ids = np.concatenate([k for _, k, _ in each]), np.concatenate([i for _, _, i in each])
     batch = np.repeat([b for b, _, _ in each], [len(k) for _, k, _ in each])
-    order = np.lexsort([batch, ids, key])
+    order = np.lexsort([_mix(ids.view(np.uint64) ^ (batch.astype(np.uint64) * _M[0])), ids, key])
     key, ids, batch = key[order], ids[order], batch[order]
     once = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
     key, ids, batch = key[once], ids[once], batch[once]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
 
-    def add(members: np.ndarray) -> None:
-        name = xxhash.xxh3_64_intdigest(ids[members].tobytes()) >> 1
-        for column, x in zip(out, (name, ids[members].tobytes(), batch[members].astype(np.int32).tobytes())):
-            column.append(x)
-
     # buckets of two, most of all, together
     two = start[size == 2]
     pair, owner = np.stack([ids[two], ids[two + 1]], axis=1), np.stack([batch[two], batch[two + 1]], axis=1).astype(np.int32)
-    names = (_mix(pair[:, 0].astype(np.uint64) * _M[0] ^ _mix(pair[:, 1].astype(np.uint64))) >> np.uint64(1)).astype(np.int64)
-    names, first = np.unique(names, return_index=True)
+    hashes = (_mix(pair[:, 0].astype(np.uint64) * _M[0] ^ _mix(pair[:, 1].astype(np.uint64))) >> np.uint64(1)).astype(np.int64)
+    hashes, first = np.unique(hashes, return_index=True)
     raw, raw_owner = pair[first].tobytes(), owner[first].tobytes()
-    out = [names.tolist(), [raw[i : i + 16] for i in range(0, len(raw), 16)], [raw_owner[i : i + 8] for i in range(0, len(raw_owner), 8)]]
+    out = [hashes.tolist(), [raw[i : i + 16] for i in range(0, len(raw), 16)], [raw_owner[i : i + 8] for i in range(0, len(raw_owner), 8)], [None] * len(hashes), [None] * len(hashes)]
     for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-        if n <= tile:
-            add(np.arange(s, s + n))
-            continue
-        tiles = [np.arange(i, min(i + tile // 2, s + n)) for i in range(s, s + n, tile // 2)]
-        for i, a in enumerate(tiles):
-            for b in tiles[i + 1 :]:
-                add(np.concatenate([a, b]))
-    return pa.table({n: pa.array(r, k) for n, k, r in zip(("name", "ids", "batches"), (pa.int64(), pa.binary(), pa.binary()), out)})
+        hot = None if n <= tile else int(key[s].view(np.int64))
+        for number, at in enumerate(range(s, s + n, tile)):
+            members = slice(at, min(at + tile, s + n))
+            name = set_name(ids[members] if hot is None else np.append(ids[members], hot))
+            for column, x in zip(out, (name, ids[members].tobytes(), batch[members].astype(np.int32).tobytes(), hot, number if hot is not None else None)):
+                column.append(x)
+    return pa.table({n: pa.array(r, k) for n, k, r in zip(names, kinds, out)})
+
+
+def set_name(ids: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(ids.tobytes()) >> 1
 
 
 def _requests(batch: pa.RecordBatch) -> pa.Table:
@@ -236,28 +249,27 @@ def alike(a: set, b: set) -> bool:
 class Lines:
     """Shingle sets of lines by id, with union-find over them and the links that were found.
 
-    A set is the sorted array of the 64-bit hashes of all of a line's shingles."""
+    A set is a sorted array of codes, one for each different shingle: the shingle's
+    characters, numbered among those of all the lines, as the digits of a number. Where
+    there are too many different characters for that, sets are sets of strings."""
 
     def __init__(self, texts: dict[int, bytes]) -> None:
-        self.sets: dict[int, np.ndarray] = {}
+        self.sets: dict[int, np.ndarray | set] = {}
         self.up: dict[int, int] = {}
         self.found: list[tuple[int, int]] = []
-        ids, held, size = [], [], 0
-        for n, (i, t) in enumerate(texts.items(), 1):
-            line = t.decode("utf-8", "replace")
-            ids.append(i)
-            held.append(line)
-            size += len(line)
-            if size > CHUNK or n == len(texts):
-                self._add(ids, held)
-                ids, held, size = [], [], 0
-
-    def _add(self, ids: list[int], lines: list[str]) -> None:
-        h, row = shingle_hashes(lines)
-        cuts = np.searchsorted(row, np.arange(len(lines) + 1)).tolist()
-        for i, a, b in zip(ids, cuts, cuts[1:]):
-            own = np.sort(h[a:b])
-            self.sets[i] = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        lines = {i: t.decode("utf-8", "replace") for i, t in texts.items()}
+        alphabet = np.array(sorted({ord(c) for x in lines.values() for c in set(x)}), np.uint32)
+        if len(alphabet) > MOST_CHARACTERS:
+            self.sets = {i: shingles(x) for i, x in lines.items()}
+            return
+        for i, x in lines.items():
+            digits = np.searchsorted(alphabet, np.frombuffer(x.encode("utf-32-le"), np.uint32)).astype(np.uint64)
+            code = digits[: len(digits) - SHINGLE + 1].copy()
+            for k in range(1, SHINGLE):
+                code *= np.uint64(len(alphabet))
+                code += digits[k : len(digits) - SHINGLE + 1 + k]
+            code.sort()
+            self.sets[i] = code[np.concatenate([[True], code[1:] != code[:-1]])]
 
     def root(self, x: int) -> int:
         up = self.up
@@ -273,6 +285,8 @@ class Lines:
     def alike(self, i: int, j: int) -> bool:
         """Jaccard similarity of 0.8 or more."""
         a, b = self.sets[i], self.sets[j]
+        if isinstance(a, set):
+            return alike(a, b)
         n, m = len(a), len(b)
         if 10 * min(n, m) < 8 * max(n, m):
             return False
@@ -318,46 +332,119 @@ def _verified(table: pa.Table) -> pa.Table:
     lines = Lines(texts)
     for _, ids in sorted((min(x), x) for x in members.values()):
         lines.verify(sorted(ids))
-    return pa.table({"a": pa.array([a for a, _ in lines.found], pa.int64()), "b": pa.array([b for _, b in lines.found], pa.int64())})
+    check = {i: line_id(texts[i])[1] for pair in lines.found for i in pair}
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in (
+        ("a", [a for a, _ in lines.found]), ("b", [b for _, b in lines.found]), ("a_check", [check[a] for a, _ in lines.found]), ("b_check", [check[b] for _, b in lines.found]),
+    )})
 
 
-def alike_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, batch_bytes: int = 16 << 20) -> DataFrame:
-    """Verified links ``(a, b)`` between line ids that connect all alike lines found."""
-    batched = in_batches(docs, id_col, text_col, batch_bytes)
-    parts = partitions(docs.sparkSession)
-    bands = batched.groupBy("batch").applyInArrow(lambda t: _batch_bands(t, parts), "part int, batch int, keys binary, ids binary")
-    sets = bands.groupBy("part").applyInArrow(lambda t: _buckets(t, tile), "name long, ids binary, batches binary")
-    once = sets.groupBy("name").agg(F.min(F.struct("ids", "batches")).alias("s")).select("name", "s.*")
-    asked = arrow_map(once, _requests, "batch int, name long, lead long, ids binary")
+LINKS = "a long, b long, a_check long, b_check long"
+
+
+def _once(sets: DataFrame) -> DataFrame:
+    rest = [c for c in sets.columns if c != "name"]
+    return sets.groupBy("name").agg(F.min(F.struct(*rest)).alias("s")).select("name", "s.*")
+
+
+def _links(sets: DataFrame, batched: DataFrame, n: int) -> DataFrame:
+    """Verified links of ``sets(name, ids, batches)`` with different names."""
+    asked = arrow_map(sets.select("name", "ids", "batches"), _requests, "batch int, name long, lead long, ids binary").repartition(n, "batch")
     texts = batched.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(_answers, "name long, lead long, ids binary, texts array<binary>")
-    return texts.groupBy(F.pmod(F.xxhash64("lead", F.pmod("name", F.lit(SALT))), F.lit(4 * parts)).alias("some")).applyInArrow(_verified, "a long, b long")
+    some = texts.withColumn("some", F.pmod(F.xxhash64("lead", F.pmod("name", F.lit(SALT))), F.lit(4 * n))).repartition(n, "some")
+    return some.groupBy("some").applyInArrow(_verified, LINKS)
+
+
+def _members(hot: DataFrame) -> DataFrame:
+    """``(hot, tile, id, batch)`` of every line of the tiles of large buckets."""
+
+    def run(b: pa.RecordBatch) -> pa.Table:
+        each = list(zip(*(b.column(c).to_pylist() for c in ("hot", "tile", "ids", "batches"))))
+        sizes = [len(x[2]) // 8 for x in each]
+        join = lambda k, t: np.concatenate([np.frombuffer(x[k], t) for x in each] or [np.empty(0, t)])
+        return pa.table({"hot": pa.array(np.repeat(np.array([x[0] for x in each], np.int64), sizes)), "tile": pa.array(np.repeat(np.array([x[1] for x in each], np.int32), sizes)), "id": join(2, np.int64), "batch": join(3, np.int32)})
+
+    return arrow_map(hot, run, "hot long, tile int, id long, batch int")
+
+
+def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
+    roots = components(links.select("a", "b")).select(F.col("node").alias("id"), "root")
+    return members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _as_set(key: tuple, t: pa.Table) -> pa.Table:
+    ids = t["id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])] if len(order) else order
+    ids, batches = ids[order], t["batch"].to_numpy()[order].astype(np.int32)
+    return pa.table({"name": pa.array([set_name(ids)], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "batches": pa.array([batches.tobytes()], pa.binary())})
+
+
+def _across_tiles(members: DataFrame, links: DataFrame, batched: DataFrame, n: int, tile: int) -> DataFrame:
+    """Links between the tiles of large buckets, beyond ``links`` inside them."""
+    sets = "name long, ids binary, batches binary"
+    # one line of each component of a bucket meets the others, in tiles of their own
+    one = _rooted(members, links).groupBy("hot", "root").agg(F.min(F.struct("id", "batch")).alias("m")).select("hot", "m.*")
+    several = one.groupBy("hot").agg((F.count("*") / tile).cast("int").alias("tiles"), F.count("*").alias("n")).filter("n > 1")
+    firsts = one.join(several, "hot").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles") + 1)).groupBy("hot", "tile").applyInArrow(_as_set, sets)
+    links = links.unionByName(written(_links(_once(firsts), batched, n), "line-links"))
+    # tiles with lines of different components meet pair by pair
+    rooted = written(_rooted(members, links), "line-members")
+    tiles = rooted.groupBy("hot", "tile").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = tiles.groupBy("hot").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("hot")
+    tiles = tiles.join(mixed, "hot")
+    other = tiles.select("hot", F.col("tile").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    apart = tiles.join(other, "hot").filter("tile < other and not (low = high and other_low = other_high and low = other_low)")
+    ends = apart.select("hot", F.explode(F.array("tile", "other")).alias("tile"), F.struct("tile", "other").alias("pair"))
+    meeting = rooted.join(ends, ["hot", "tile"]).groupBy("hot", "pair").applyInArrow(_as_set, sets)
+    return links.unionByName(written(_links(_once(meeting), batched, n), "line-links"))
+
+
+def alike_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, batch_bytes: int = 16 << 20) -> DataFrame:
+    """Verified links ``(a, b, a_check, b_check)`` between line ids that connect all alike
+    lines found."""
+    batched, n = in_batches(docs, id_col, text_col, batch_bytes)
+    bands = batched.groupBy("batch").applyInArrow(lambda t: _batch_bands(t, n), "part int, batch int, keys binary, ids binary")
+    buckets = bands.repartition(n, "part").groupBy("part").applyInArrow(lambda t: _buckets(t, tile), "name long, ids binary, batches binary, hot long, tile int")
+    once = _once(buckets)
+    tiles = once.filter("hot is not null").select("hot", "tile", "ids", "batches")
+    # links and the tiles of large buckets, in one job that shares its exchanges
+    both = written(_links(once, batched, n).unionByName(tiles, allowMissingColumns=True), "line-links")
+    links, hot = both.filter("a is not null").select("a", "b", "a_check", "b_check"), both.filter("hot is not null")
+    return links if hot.isEmpty() else _across_tiles(written(_members(hot), "line-members"), links, batched, n, tile)
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, version, of, at, line)`` of every line: document, hash of its text, number of
-    its lines, number of this one, id."""
+    """``(doc, version, of, at, line, line_check)`` of every line: document, hash of its text,
+    number of its lines, number of this one, and its name."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], [], []]
+        names = []
         for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
             lines = lines_of(text)
-            for column, y in zip(out, ([NO_ID if doc is None else doc] * len(lines), [version] * len(lines), [len(lines)] * len(lines), [n for n, _ in lines], [line_id(x) for _, x in lines])):
+            for column, y in zip(out, ([NO_ID if doc is None else doc] * len(lines), [version] * len(lines), [len(lines)] * len(lines), [n for n, _ in lines])):
                 column.extend(y)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc", "version", "of", "at", "line"])
+            names += [xxhash.xxh3_128_digest(x) for _, x in lines]
+        name = np.frombuffer(b"".join(names), ">i8").reshape(-1, 2).astype(np.int64)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(out, kinds)], pa.array(name[:, 1]), pa.array(name[:, 0])], ["doc", "version", "of", "at", "line", "line_check"])
 
-    return arrow_map(rows, run, "doc long, version long, of long, at int, line long")
+    return arrow_map(rows, run, "doc long, version long, of long, at int, line long, line_check long")
 
 
 def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: DataFrame | None = None, **options) -> DataFrame:
     """``(doc, version, at)`` of the line that stays of every component; ``lines``: the
     occurrences, if they are at hand."""
-    roots = written(components(alike_lines(docs, id_col, text_col, **options)), "line-roots")
+    links = alike_lines(docs, id_col, text_col, **options)
+    ends = links.select(F.inline(F.array(F.struct(F.col("a").alias("line"), F.col("a_check").alias("line_check")), F.struct(F.col("b").alias("line"), F.col("b_check").alias("line_check"))))).distinct()
+    roots = components(links.select("a", "b")).join(ends, F.col("node") == F.col("line")).select("line", "line_check", "root")
+    roots = written(roots, "line-roots")
     lines = occurrences(docs, id_col, text_col) if lines is None else lines
-    first = lines.groupBy("line").agg(F.min(F.struct("doc", "version", "at")).alias("first"))
-    rooted = first.join(roots.withColumnRenamed("node", "line"), "line", "left").select(F.coalesce("root", "line").alias("root"), "first")
-    return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    first = lines.groupBy("line", "line_check").agg(F.min(F.struct("doc", "version", "at")).alias("first"))
+    rooted = first.join(roots, ["line", "line_check"], "left")
+    alone = F.when(F.col("root").isNull(), F.col("line_check")).alias("alone")  # not alike to any line, whatever 64 bits of its name say
+    return rooted.groupBy(F.coalesce("root", "line").alias("root"), alone).agg(F.min("first").alias("first")).select("first.*")
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -374,10 +461,12 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_alike_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the text of each row cut to the lines that stay and its blank lines."""
-    version = first_lines(docs, id_col, text_col, **options).groupBy("doc", "version").agg(F.collect_list("at").alias("__kept"))
-    marked = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))).withColumn("__version", F.xxhash64(text_col))
-    both = marked.join(version.withColumnRenamed("doc", "__doc").withColumnRenamed("version", "__version"), ["__doc", "__version"], "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    kept = first_lines(docs, id_col, text_col, **options).groupBy("doc", "version").agg(F.collect_list("at").alias("kept"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("doc"), F.xxhash64(text_col).alias("version"))
+    both = row.join(kept, ["doc", "version"], "left")
+    text = F.col("row")[text_col]
+    lines = F.split(text, "\n", -1)
     blank = lambda x: F.regexp_replace(x, r"[\x20\x09-\x0D]", "") == ""
-    keep = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: blank(s["x"]) | F.array_contains(F.coalesce("__kept", F.expr("cast(array() as array<int>)")), s["i"]))
-    return both.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.array_join(F.transform(keep, lambda s: s["x"]), "\n"))).select(*docs.columns)
+    keep = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: blank(s["x"]) | F.array_contains(F.coalesce("kept", F.expr("cast(array() as array<int>)")), s["i"]))
+    cut = F.when(text.isNotNull(), F.array_join(F.transform(keep, lambda s: s["x"]), "\n"))
+    return both.select(*[(cut if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -19,7 +19,9 @@ repeated rows each get a row; an empty table gives an empty result; other column
 ignored.
 
 Scale: documents are dealt to batches by a hash, so a hot source or group of copies
-spreads out; each shuffle carries at most one entry for each key or region of a batch,
+spreads out, and keys to as many parts as there are batches, both of a fixed size. A key
+with very much text (a common string in very many contexts) is cut up: its windows are
+dealt one by one, by a hash of all their bytes. Each shuffle carries at most one entry for each key or region of a batch,
 so a passage in a third of all documents is as many entries as there are batches. The
 documents' own exchange is shared by the three steps that need texts.
 """
@@ -32,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix
-from .common import NO_ID, as_bytes, in_batches, partitions, unpacked
+from .common import NO_ID, as_bytes, in_batches, unpacked
 
 GRAM = 16
 CHUNK = 1 << 20
 #: Bytes of regions that are sorted together; one key's regions are never parted.
 SHARD = 2 << 20
+#: Bytes of different regions under one key beyond which its windows are dealt one by one.
+HOT = 32 << 20
 #: Odd constants of the hash, and 64 random bits for each byte value.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BYTES = np.random.default_rng(6).integers(0, 1 << 64, 256, np.uint64)
@@ -103,49 +107,81 @@ def _rows(table: pa.Table) -> tuple[list[int | None], np.ndarray, list[bytes]]:
 
 
 def _batch_keys(table: pa.Table, window: int, parts: int) -> pa.Table:
-    """The distinct keys of a batch for each part, and which of them two documents have."""
+    """The distinct keys of a batch for each part, and a weight of each: one more than the
+    logarithm of the bytes of its regions, and 64 more if two documents have it."""
     batch = table["batch"][0].as_py()
     _, ids, texts = _rows(table)
-    keys, docs = [], []
-    for at, _, _, _, _, k, doc in regions(texts, window):
+    keys, docs, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at, _, _, _, counts, k, doc in regions(texts, window):
         keys.append(k)
         docs.append(ids[at + doc] if len(k) else np.empty(0, np.int64))
-    key, doc = np.concatenate(keys or [np.empty(0, np.uint64)]), np.concatenate(docs or [np.empty(0, np.int64)])
+        sizes.append(counts + window - 1)
+    key, doc, size = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes)
     order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
+    key, doc, size = key[order], doc[order], size[order]
     if not len(key):
-        return pa.table({"part": pa.array([], pa.int32()), "batch": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "many": pa.array([], pa.binary())})
+        return pa.table({"part": pa.array([], pa.int32()), "batch": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "weights": pa.array([], pa.binary())})
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     many = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
+    weight = (1 + np.log2(np.add.reduceat(size, new)).astype(np.uint8) + 64 * many).astype(np.uint8)
     key = key[new]
     part = (key % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    key, many, cuts = key[order], many[order], np.searchsorted(part[order], np.arange(parts + 1))
+    key, weight, cuts = key[order], weight[order], np.searchsorted(part[order], np.arange(parts + 1))
     at = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
     return pa.table({
         "part": pa.array(at, pa.int32()), "batch": pa.array([batch] * len(at), pa.int32()),
-        "keys": pa.array([key[cuts[p] : cuts[p + 1]].tobytes() for p in at], pa.binary()), "many": pa.array([many[cuts[p] : cuts[p + 1]].tobytes() for p in at], pa.binary()),
+        "keys": pa.array([key[cuts[p] : cuts[p + 1]].tobytes() for p in at], pa.binary()), "weights": pa.array([weight[cuts[p] : cuts[p + 1]].tobytes() for p in at], pa.binary()),
     })
 
 
-def _shared_keys(table: pa.Table) -> pa.Table:
-    """Of one part's keys those that two documents have, for each batch that has them."""
+def _shared_keys(table: pa.Table, hot_bytes: int) -> pa.Table:
+    """Of one part's keys those that two documents have, for each batch that has them, and
+    which of them have regions of more than about ``hot_bytes``."""
     each = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
-    many = np.concatenate([np.frombuffer(m, bool) for m in table["many"].to_pylist()])
+    weight = np.concatenate([np.frombuffer(m, np.uint8) for m in table["weights"].to_pylist()])
     key = np.concatenate(each)
     order = np.argsort(key, kind="stable")
-    key, many = key[order], many[order]
+    key, many, size = key[order], weight[order] > 64, np.left_shift(np.int64(1), weight[order].astype(np.int64) % 64)
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    shared = key[new][(np.diff(np.append(new, len(key))) > 1) | np.logical_or.reduceat(many, new)]
-    found = [k[np.isin(k, shared, assume_unique=True)].tobytes() for k in each]
-    return pa.table({"batch": table["batch"], "keys": pa.array(found, pa.binary())}).filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
+    wanted = (np.diff(np.append(new, len(key))) > 1) | np.logical_or.reduceat(many, new)
+    shared, hot = key[new][wanted], key[new][wanted & (np.add.reduceat(size, new) > hot_bytes)]
+    found = [k[np.isin(k, shared, assume_unique=True)] for k in each]
+    some = pa.array([len(f) > 0 for f in found], pa.bool_())
+    return pa.table({"batch": table["batch"], "keys": pa.array([f.tobytes() for f in found], pa.binary()), "hot": pa.array([f[np.isin(f, hot, assume_unique=True)].tobytes() for f in found], pa.binary())}).filter(some)
+
+
+def window_hashes(data: np.ndarray, window: int) -> np.ndarray:
+    """A hash of the window that starts at each byte; the last ``window - 1`` are left out."""
+    h, width = _BYTES[data], 1
+    while 2 * width <= window:
+        h = h[:-width] * _MIX[0] + h[width:]
+        h ^= h >> np.uint64(29)
+        width *= 2
+    if width < window:
+        h = h[: -(window - width)] * _MIX[1] + h[window - width :]
+    return h
+
+
+def _parted(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, key: np.ndarray, doc: np.ndarray, hot: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Regions with those under hot keys cut in their windows, each a region whose key is a
+    hash of all its bytes, so that one hot key is as many keys as it has windows."""
+    many = np.isin(key, hot)
+    if not many.any():
+        return starts, counts, key, doc
+    times = np.where(many, counts, 1)
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    starts, single, doc = np.repeat(starts, times) + step, np.repeat(many, times), np.repeat(doc, times)
+    counts, key = np.where(single, 1, np.repeat(counts, times)), np.repeat(key, times)
+    key[single] = window_hashes(data, window)[starts[single]]
+    return starts, counts, key, doc
 
 
 def _shared_regions(docs: pa.Table, wanted: pa.Table, window: int):
     """The batch's rows, its distinct regions under shared keys in order of appearance
     (text -> number), their keys and smallest ids, and per part of the batch where they are."""
     ids, order_ids, texts = _rows(docs)
-    shared = np.sort(np.concatenate([np.frombuffer(k, np.uint64) for k in wanted["keys"].to_pylist()] or [np.empty(0, np.uint64)]))
+    shared, too_many = (np.sort(np.concatenate([np.frombuffer(k, np.uint64) for k in wanted[c].to_pylist()] or [np.empty(0, np.uint64)])) for c in ("keys", "hot"))
     number: dict[bytes, int] = {}
     keys: list[int] = []
     least: list[int] = []
@@ -154,7 +190,8 @@ def _shared_regions(docs: pa.Table, wanted: pa.Table, window: int):
         at_key = np.searchsorted(shared, key)
         hit = np.flatnonzero((at_key < len(shared)) & (shared[np.minimum(at_key, len(shared) - 1)] == key)) if len(shared) else np.empty(0, np.int64)
         raw, which = data.tobytes(), []
-        for s, n, k, d in zip(starts[hit].tolist(), counts[hit].tolist(), key[hit].tolist(), order_ids[at + doc[hit]].tolist() if len(hit) else []):
+        starts, counts, key, doc = _parted(data, starts[hit], counts[hit], key[hit], doc[hit], too_many, window)
+        for s, n, k, d in zip(starts.tolist(), counts.tolist(), key.tolist(), order_ids[at + doc].tolist() if len(doc) else []):
             text = raw[s : s + n + window - 1]
             i = number.setdefault(text, len(number))
             if i == len(keys):
@@ -163,7 +200,7 @@ def _shared_regions(docs: pa.Table, wanted: pa.Table, window: int):
             elif d < least[i]:
                 least[i] = d
             which.append(i)
-        places.append((at, len(data), offsets, starts[hit], counts[hit], doc[hit], np.array(which, np.int64)))
+        places.append((at, len(data), offsets, starts, counts, doc, np.array(which, np.int64)))
     return ids, order_ids, texts, number, np.array(keys, np.uint64), np.array(least, np.int64), places
 
 
@@ -207,13 +244,7 @@ def shards(key: np.ndarray, texts: list[bytes], window: int):
         mine = some[at:end]
         lengths = np.array([len(texts[i]) for i in mine.tolist()], np.int64)
         data = np.frombuffer(b"".join([texts[i] for i in mine.tolist()]), np.uint8)
-        h, width = _BYTES[data], 1
-        while 2 * width <= window:
-            h = h[:-width] * _MIX[0] + h[width:]
-            h ^= h >> np.uint64(29)
-            width *= 2
-        if width < window:
-            h = h[: -(window - width)] * _MIX[1] + h[window - width :]
+        h = window_hashes(data, window)
         owner = np.repeat(np.arange(len(mine)), lengths)
         ends = np.cumsum(lengths)
         inside = np.arange(len(h)) + window <= ends[owner[: len(h)]]
@@ -358,20 +389,20 @@ def _cut(docs: pa.Table, wanted: pa.Table, judged: pa.Table, window: int) -> pa.
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "spans": pa.array(spans, _SPANS), "kept": pa.array(kept, pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, batch_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, batch_bytes: int = 16 << 20, hot_bytes: int = HOT) -> DataFrame:
     """``(doc_id, n_bytes, spans, kept)``: the removed byte spans of each document and its
     remaining bytes."""
     if not GRAM <= window <= 255:
         raise ValueError(f"windows have {GRAM} to 255 bytes")
-    batched = in_batches(docs, id_col, text_col, batch_bytes)
-    parts = partitions(docs.sparkSession)
+    batched, n = in_batches(docs, id_col, text_col, batch_bytes)
     by_batch = lambda df: df.groupBy("batch")
-    keys = by_batch(batched).applyInArrow(lambda t: _batch_keys(t, window, parts), "part int, batch int, keys binary, many binary")
-    shared = keys.groupBy("part").applyInArrow(_shared_keys, "batch int, keys binary")
-    sent = by_batch(batched).cogroup(by_batch(shared)).applyInArrow(lambda d, w: _send_regions(d, w, window, parts), "part int, batch int, numbers binary, keys binary, sizes binary, least binary, texts binary")
-    judged = sent.groupBy("part").applyInArrow(lambda t: _judge_regions(t, window), "batch int, region binary, cut binary, least binary")
+    by_part = lambda df: df.repartition(n, "part").groupBy("part")
+    keys = by_batch(batched).applyInArrow(lambda t: _batch_keys(t, window, n), "part int, batch int, keys binary, weights binary")
+    shared = by_part(keys).applyInArrow(lambda t: _shared_keys(t, hot_bytes), "batch int, keys binary, hot binary").repartition(n, "batch")
+    sent = by_batch(batched).cogroup(by_batch(shared)).applyInArrow(lambda d, w: _send_regions(d, w, window, n), "part int, batch int, numbers binary, keys binary, sizes binary, least binary, texts binary")
+    judged = by_part(sent).applyInArrow(lambda t: _judge_regions(t, window), "batch int, region binary, cut binary, least binary")
     # the last step takes the shared keys and the judgements together
-    both = shared.select("batch", "keys", *[F.lit(None).cast("binary").alias(c) for c in ("region", "cut", "least")]).unionByName(judged.withColumn("keys", F.lit(None).cast("binary")))
+    both = shared.unionByName(judged, allowMissingColumns=True).repartition(n, "batch")
 
     def finish(d: pa.Table, more: pa.Table) -> pa.Table:
         is_key = more["keys"].is_valid()
