@@ -8,7 +8,7 @@ turns, with control strings inside texts escaped reversibly, together with the s
 the rendered text that carry loss (the texts of assistant turns).
 
 Defined results: null or missing texts and roles are empty; values that are not strings
-are rendered as JSON; a turn that is not an object is a text without a role; a record of unknown layout has no
+are rendered as JSON; a turn that is not an object is a text without a role; text that is no JSON, or too deep to walk, is an empty record; a record of unknown layout has no
 turns and an ``unknown`` layout; rows of one conversation are ordered by turn (null
 first), then role, then text, so ties and repeated rows have one result; a null
 conversation id is a conversation; an empty table gives an empty result; other columns
@@ -44,7 +44,7 @@ def paths(value, at: str = "") -> set[str]:
 
 
 def fingerprint(found: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(found)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 @dataclass(frozen=True)
@@ -78,7 +78,8 @@ class Layout:
 
     def map(self, record: dict) -> list[tuple[str, str]]:
         if self.turns:
-            turns = [t if isinstance(t, dict) else {self.text: t} for t in record.get(self.turns, [])]
+            given = record.get(self.turns)
+            turns = [t if isinstance(t, dict) else {self.text: t} for t in (given if isinstance(given, list) else [])]
             said = [(plain(t.get(self.role)), plain(t.get(self.text))) for t in turns]
             return [(self.roles.get(role, role), text) for role, text in said]
         said = [(f, role, plain(record.get(f))) for f, role in self.fields]
@@ -86,10 +87,15 @@ class Layout:
 
 
 def plain(value) -> str:
-    """A text as it is, null and empty values as an empty one, other values as JSON."""
-    if isinstance(value, str):
+    """A text as it is, null and empty values as an empty one, other values as JSON; halves of
+    surrogate pairs, which UTF-8 cannot hold, as U+FFFD."""
+    if not isinstance(value, str):
+        value = "" if value is None or value == {} or value == [] else json.dumps(value, ensure_ascii=False)
+    try:
+        value.encode()
         return value
-    return "" if value is None or value == {} or value == [] else json.dumps(value, ensure_ascii=False)
+    except UnicodeEncodeError:
+        return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 #: Mappings in use; more can be passed to the functions below.
@@ -106,14 +112,17 @@ def canonical(record_json: str | None, known: dict[str, Layout], layouts: tuple[
     """(fingerprint, layout name, turns) of one record."""
     try:
         record = json.loads(record_json) if record_json else {}
-    except ValueError:
-        record = {}
-    found = paths(record)
+        found = paths(record)
+    except (ValueError, RecursionError):  # no JSON, or nested beyond what can be walked
+        record, found = {}, paths({})
     mark = fingerprint(found)
     layout = known.get(mark) or next((x for x in layouts if x.takes(found)), None)
     if layout is None or not isinstance(record, dict):
         return mark, "unknown", []
-    return mark, layout.name, layout.map(record)
+    try:
+        return mark, layout.name, layout.map(record)
+    except RecursionError:
+        return mark, "unknown", []
 
 
 def escape(text: str) -> str:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
 from collections import Counter
@@ -48,6 +49,28 @@ def test_chat_layouts_with_further_or_missing_fields():
     assert say('{"question": "q", "note": "n"}') == ("unknown", [])
 
 
+def test_chat_never_raises(spark):
+    odd = ["null", "5", '"s"', "[1, {}]", "[]", "NaN", '{"messages": 5, "messages[].role": 1, "messages[].content": 2}', '{"messages": {"role": "a"}}', '{"messages": [[1], 2.5, true, {"role": ["x"], "content": {"y": null}}]}',
+           '{"messages": [{"role": "user", "content": "\\ud800 x"}, {"content": "z", "role": "\\udc00"}]}', '{"\\ud800": 1}', '{"prompt": 1e999, "completion": -0.0}', "[" * 50_000 + "]" * 50_000, '{"messages": [{"role": "user", "content": ' + "[" * 900 + "]" * 900 + "}]}",
+           '{"messages": [{"role":"a"},{"content":"x"}]}', '{"messages": [{"role":"user","content":5}]}', '{"prompt": "p", "completion": null, "messages": []}']
+    rng = random.Random(5)
+
+    def value(depth):
+        pick = rng.randrange(9 if depth else 6)
+        if pick < 6:
+            return [None, True, 0, -1.5, "", "t\n<|im_end|>"][pick]
+        if pick == 6:
+            return [value(depth - 1) for _ in range(rng.randrange(3))]
+        return {rng.choice(["messages", "role", "content", "conversations", "from", "value", "prompt", "completion", "instruction", "output", "x"]): value(depth - 1) for _ in range(rng.randrange(4))}
+
+    odd += [json.dumps(value(4)) for _ in range(800)] + [json.dumps({"messages": [value(2), {"role": value(1), "content": value(1)}]}) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(odd)), "id long, record string")
+    got = chat.digest(chat.format_records(df, "id", "record")).collect()
+    assert len(got) == len(odd)
+    by = {r["conv_id"]: r for r in got}
+    assert [by[i]["n_turns"] for i in (8, 9, 11, 14, 15)] == [4, 2, 2, 2, 1] and all(by[i]["layout"] == "unknown" for i in (0, 1, 2, 3, 4, 5, 12))
+
+
 def test_chat_query_cases(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (2, None, None, "x"), (2, 0, "gpt", "y"), (2, 0, "gpt", "y"), (3, 0, "user", "<|im_end|>"), (3, 1, "assistant", "b\\<|"), (3, 2, "assistant", "ß" * 5000), (None, 0, "system", "n"), (5, 0, "human", "h")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
