@@ -15,8 +15,9 @@ size 0 has target 0; an empty table gives an empty mix; other columns are ignore
 Scale: the prefix sum is two-level. Documents fall in cells (source, size class, hash
 bucket) of some thousands of rows; cells are counted with map-side combine, the running
 count over cells is a window over that small table alone, and ranks inside cells are
-local, so a source with a third of all rows is split over many tasks. Only (id, size,
-source) is shuffled, never text. The table of sources has one row per source.
+local, so a source with a third of all rows is split over many tasks (rows without an id
+are one cell of their source and size class). ``mix`` shuffles (id, size, source), never
+text; ``mixed_rows`` shuffles each row that it takes once. The table of sources has one row per source.
 """
 
 from __future__ import annotations
@@ -61,7 +62,9 @@ def _md5_number(text: Column) -> Column:
 
 
 def copies(sized: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
-    """``sized(doc_id, size, source)`` with ``source_size``, ``target`` and ``n_copies``."""
+    """``sized(doc_id, size, source, ...)`` with ``source_size``, ``target`` and ``n_copies``;
+    other columns break ties of size and id, in their order, and stay."""
+    more = [c for c in sized.columns if c not in ("doc_id", "size", "source")]
     rows = sized.count()
     buckets = max(1, -(-rows // CELL_ROWS))
     grade = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 2)).otherwise(F.lit(-1)).cast("int")
@@ -69,7 +72,7 @@ def copies(sized: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
     count = cells.groupBy("source", "grade", "bucket").agg(F.count("*").alias("n"))
     run = Window.partitionBy("source").orderBy("grade", "bucket")
     start = count.withColumn("before", F.sum("n").over(run) - F.col("n")).drop("n")
-    place = Window.partitionBy("source", "grade", "bucket").orderBy("size", "doc_id")
+    place = Window.partitionBy("source", "grade", "bucket").orderBy("size", "doc_id", *more)
     ranked = cells.withColumn("at", F.row_number().over(place))
 
     def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
@@ -78,7 +81,7 @@ def copies(sized: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
             cond = cond & a[n].eqNullSafe(b[n])
         return cond
 
-    placed = ranked.join(start, same(ranked, start, "source", "grade", "bucket"), "left").select(ranked["doc_id"], ranked["size"], ranked["source"], (F.col("at") + F.col("before")).alias("place"))
+    placed = ranked.join(start, same(ranked, start, "source", "grade", "bucket"), "left").select(*[ranked[c] for c in ("doc_id", "size", "source", *more)], (F.col("at") + F.col("before")).alias("place"))
     rated = placed.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, placed["source"].eqNullSafe(plan["source"]), "left").select(placed["*"], plan["source_size"], plan["target"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _md5_number(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source").cast("string"), F.lit("\n")))) / F.lit(float(1 << 32))
@@ -92,13 +95,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return copies(sized, plan, seed).select("doc_id", "size", "source_size", "target", "n_copies", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Rows that share an id share that id's copies: the k-th of them gets the k-th count."""
-    taken = mix(docs, id_col, text_col, source_col, **options).select(F.col("doc_id").alias("__id"), "n_copies", "size")
-    nth = lambda c: Window.partitionBy(c, "__size").orderBy(F.lit(0))
-    right = taken.withColumnRenamed("size", "__size").withColumn("__nth", F.row_number().over(nth("__id"))).select("__id", F.col("__size").alias("__s"), F.col("__nth").alias("__k"), "n_copies")
-    left = docs.withColumn("__size", word_count(F.col(text_col))).withColumn("__nth", F.row_number().over(nth(id_col)))
-    both = left.join(right, left[id_col].eqNullSafe(right["__id"]) & (left["__size"] == right["__s"]) & (left["__nth"] == right["__k"]))
-    return both.withColumn("__copy", F.explode(F.when(F.col("n_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))).select(*docs.columns)
+    Rows are numbered once, in a written table, and meet their number of copies by it, so
+    neither a null nor a repeated id gathers rows. Rows of one size and id are taken in order
+    of a hash of their text; what is equal in all three is one text."""
+    rows = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "mix-rows")
+    of = lambda c: F.col("row")[c]
+    sized = written(rows.select(of(id_col).alias("doc_id"), word_count(of(text_col)).alias("size"), of(source_col).alias("source"), F.xxhash64(of(text_col)).alias("version"), "number"), "mix-sizes")
+    plan = written(targets(sized, **options), "mix-targets")
+    taken = copies(sized, plan, seed).filter("n_copies > 0").select("number", "n_copies")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))
+    return rows.join(taken, "number").select("row", times).select("row.*")

@@ -14,7 +14,8 @@ a null id is never a component's name unless no member has an id; repeated rows
 get a row; an empty table gives an empty result; other columns are ignored.
 
 Scale: the comparison is quadratic in distinct fingerprints (the method's nature), with
-tiles of a fixed size spread over tasks; the shuffle carries 8-byte fingerprints only.
+tiles of a fixed size spread over tasks; the shuffle carries 8-byte fingerprints only, a
+tile's 128 KB to each of its pairs, which is one byte for about a thousand comparisons.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, components, written
+from .common import NO_ID, arrow_map, as_bytes, components, written
 
 TILE = 16384
 BLOCK = 256
+#: A fingerprint is common if it has more than one in so many rows, so there are fewer than that.
+COMMON = 1000
 
 
 def simhash(text: bytes, shingle: int = 3) -> int:
@@ -135,29 +138,32 @@ def _links(distinct: DataFrame, radius: int) -> DataFrame:
 
 
 def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
-    """``distinct(fp, least)`` with the ``root`` of each fingerprint's component."""
+    """``distinct(fp, ...)`` with the ``root`` of each fingerprint's component."""
     roots = written(components(_links(distinct.select("fp"), radius)), "simhash-roots")
-    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: component_id is the smallest id among the
     documents reachable over links of ``radius`` or fewer differing bits."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     rooted = _rooted(distinct, radius)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = written(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "n", "component_id"), "simhash-named")
+    # fingerprints of very many rows do not meet their names by a shuffle: at most COMMON of them are broadcast
+    rows = named.agg(F.sum("n").alias("n")).first()["n"] or 0
+    common, other = (F.broadcast(named.filter(F.col("n") * COMMON > rows)), named.filter(F.col("n") * COMMON <= rows))
+    met = fps.join(common, "fp").unionByName(fps.join(common.select("fp"), "fp", "left_anti").join(other, "fp"))
+    return met.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the document with the
-    smallest id, then the smallest hash of its text, stays (one row of it). Rows that share
-    an id but not the text are documents of their own. Documents without an id cannot be
-    named and stay."""
-    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "version"))).alias("least")
+    smallest id (none is larger than any), then the smallest hash of its text, stays (one row
+    of it). Rows that share an id but not the text are documents of their own."""
+    doc = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(int(NO_ID)))
+    least = F.min(F.struct(doc("doc_id").alias("doc"), "version")).alias("least")
     distinct = written(fingerprints(docs, id_col, text_col, shingle, version=True).groupBy("fp").agg(least), "simhash-distinct")
-    keep = _rooted(distinct, radius).groupBy("root").agg(F.min("least").alias("least")).filter("least is not null").select(F.col("least.doc_id").alias("__doc"), F.col("least.version").alias("__version"))
-    rows = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__version": F.xxhash64(text_col)})
-    kept = rows.join(keep, ["__doc", "__version"], "left_semi").dropDuplicates(["__doc", "__version"])
-    return kept.unionByName(rows.filter("__doc is null")).select(*docs.columns)
+    keep = _rooted(distinct, radius).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc(id_col).alias("doc"), F.xxhash64(text_col).alias("version"))
+    return rows.join(keep, ["doc", "version"], "left_semi").dropDuplicates(["doc", "version"]).select("row.*")
