@@ -4,9 +4,9 @@ The alphabet is words (ASCII-lowercased runs of letters, digits and non-ASCII
 characters), the test strings are the windows of 10 consecutive words of each item; an
 item of fewer words is one window. Windows of one length form a set: a table of
 word-pair blocks says how far the search may jump from the block that ends at the
-current position (unseen blocks: the whole window less one word), a block with shift
-zero selects the bucket of windows that end with it, and a direct comparison of the
-words confirms each occurrence.
+current position (unseen blocks: the whole window less one word), at a block with shift zero the
+hash of the window that ends there selects a bucket, and a direct comparison of the words
+confirms each occurrence. Words are numbered, and all tables are packed arrays.
 
 Defined results: null text has no words; a null item id counts for hits but names no
 item; repeated items count once; overlapping and repeated occurrences count each word
@@ -20,13 +20,17 @@ benchmark of any size is searched whole and no pass holds more than one block.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, as_bytes
 
+#: Bytes of item text whose tables are broadcast together; the tables take some ten times as much.
+BLOCK_BYTES = 8 << 20
 #: Every byte that separates words becomes a blank, A-Z become a-z.
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -36,53 +40,118 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WuManber:
-    """Search for word sequences of one common length ``m``."""
-
-    def __init__(self, windows: dict[tuple[bytes, ...], set]) -> None:
-        self.m = m = len(next(iter(windows)))
-        self.block = b = min(2, m)
-        self.items = windows
-        self.far = m - b + 1
-        self.shift: dict = {}
-        self.bucket: dict = defaultdict(list)
-        for window in windows:
-            for end in range(b, m + 1):
-                key = window[end - b : end] if b == 2 else window[end - 1]
-                self.shift[key] = min(self.shift.get(key, self.far), m - end)
-            self.bucket[key].append(window)
-        # equality with any window of a bucket is one lookup of the words themselves
-        self.bucket = {k: frozenset(v) for k, v in self.bucket.items()}
-
-    def search(self, words: list[bytes]):
-        """Yields (start, window) of every occurrence."""
-        m, far, shift, bucket = self.m, self.far, self.shift.get, self.bucket
-        at, n = m - 1, len(words)
+    """Search for the windows of ``m`` words of items, given as arrays of word numbers.
+
+    Tables are arrays: the sorted word-pair blocks with the shift of each, and the sorted
+    hashes of the different windows (the buckets) with a place in the items' words to compare
+    with and the items of each. Words are numbered below ``words``; -1 is a word of no item."""
+
+    def __init__(self, texts: list[np.ndarray], owners: np.ndarray, m: int, words: int) -> None:
+        self.m, self.words, self.block = m, words, min(2, m)
+        self.far = m - self.block + 1
+        lengths = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(lengths)
+        self.text = np.concatenate(texts).astype(np.int32)
+        place = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+        left = np.repeat(lengths, lengths) - place
+        last = np.flatnonzero(left >= self.block)  # the first word of every block
+        key, shift = self._blocks(self.text)[last], np.maximum(0, m - self.block - place[last])
+        order = np.lexsort([shift, key])
+        first = np.concatenate([[True], np.diff(key[order]) != 0])
+        self.keys, self.shift = key[order][first], np.minimum(shift[order][first], 255).astype(np.uint8)
+        start = np.flatnonzero(left >= m)
+        hashes, owner = self.hashes(self.text, start), np.repeat(owners, lengths)[start]
+        order = np.lexsort([owner, hashes])
+        hashes, start, owner = hashes[order], start[order], owner[order]
+        new = np.concatenate([[True], np.diff(hashes) != 0])
+        group = np.cumsum(new) - 1
+        # windows of one hash that are not equal have a bucket together; the others are one window
+        apart = np.zeros(len(start), bool)
+        for k in range(m):
+            apart |= self.text[start + k] != self.text[start[new][group] + k]
+        new |= apart
+        once = new | np.concatenate([[True], np.diff(owner) != 0])
+        start, owner, hashes, new = start[once], owner[once], hashes[once], new[once]
+        self.at = np.flatnonzero(new)
+        self.bucket, self.start = hashes[self.at], start[self.at]
+        self.owner = owner
+        self.at = np.append(self.at, len(owner))
+
+    def _blocks(self, text: np.ndarray) -> np.ndarray:
+        """The block that starts at each word (-1: in no item); with one word a block, the word."""
         if self.block == 1:
-            for at, word in enumerate(words):
-                if word in bucket:
-                    yield at, (word,)
+            return text.astype(np.int64)
+        a, b = text[:-1].astype(np.int64), text[1:].astype(np.int64)
+        return np.append(np.where((a < 0) | (b < 0), -1, a * self.words + b), -1)
+
+    def hashes(self, text: np.ndarray, start: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(start), np.uint64)
+        for k in range(self.m):
+            h = (h ^ text[start + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def search(self, text: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, number of the window) of every occurrence in an array of word numbers."""
+        n, m = len(text), self.m
+        if n < m:
             return
-        while at < n:
-            jump = shift((words[at - 1], words[at]), far)
-            if jump:
-                at += jump
+        blocks = self._blocks(text)
+        at = np.minimum(np.searchsorted(self.keys, blocks), len(self.keys) - 1)
+        shift = np.where(self.keys[at] == blocks, self.shift[at], self.far)
+        back = m - self.block  # from a window's last block to its start
+        if not (shift[back:] == 0).any():
+            return
+        jump, at, ends = shift.tolist(), back, []
+        while at <= n - self.block:
+            if jump[at]:
+                at += jump[at]
                 continue
-            window = tuple(words[at - m + 1 : at + 1])
-            if window in bucket[window[-2:]]:
-                yield at - m + 1, window
+            ends.append(at)
             at += 1
-
-
-def build(items: list[tuple[str | None, bytes]], window: int) -> list[WuManber]:
-    """A searcher for each length of window among the items."""
-    by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        words = words_of(text)
-        m = min(window, len(words))
-        if m:
-            for at in range(len(words) - m + 1):
-                by_length[m][tuple(words[at : at + m])].add(item)
-    return [WuManber(dict(w)) for _, w in sorted(by_length.items())]
+        start = np.array(ends, np.int64) - back
+        hashes = self.hashes(text, start)
+        low, high = np.searchsorted(self.bucket, hashes), np.searchsorted(self.bucket, hashes, side="right")
+        for k in np.flatnonzero(low < high).tolist():
+            for w in range(low[k], high[k]):
+                if (self.text[self.start[w] : self.start[w] + m] == text[start[k] : start[k] + m]).all():
+                    yield int(start[k]), w
+
+    def items(self, window: int) -> list[int]:
+        return self.owner[self.at[window] : self.at[window + 1]].tolist()
+
+
+class Searchers:
+    """The searcher of each length of window among items ``(id as string, text)``."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int) -> None:
+        self.names = [name for name, _ in items]
+        self.numbers: dict[bytes, int] = {}
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for i, (_, text) in enumerate(items):
+            words = np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words_of(text)], np.int32)
+            if len(words):
+                by_length[min(window, len(words))].append((i, words))
+        self.each = [WuManber([w for _, w in own], np.array([i for i, _ in own]), m, len(self.numbers)) for m, own in sorted(by_length.items())]
+
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        get = self.numbers.get
+        return np.array([get(w, -1) for w in words], np.int32)
+
+    def any_in(self, words: list[bytes]) -> bool:
+        text = self.numbered(words)
+        return any(next(s.search(text), None) for s in self.each)
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """Merged word intervals inside occurrences, and the items found."""
+        text, spans, items = self.numbered(words), [], set()
+        for s in self.each:
+            seen = set()
+            for start, window in s.search(text):
+                spans.append((start, start + s.m))
+                seen.add(window)
+            items.update(i for w in seen for i in s.items(w))
+        return merged(spans), {self.names[i] for i in items}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -96,16 +165,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find(words: list[bytes], searchers: list[WuManber]) -> tuple[list[tuple[int, int]], set]:
-    """Merged word intervals inside occurrences, and the items found."""
-    spans, items = [], set()
-    for s in searchers:
-        for start, window in s.search(words):
-            spans.append((start, start + s.m))
-            items |= s.items[window]
-    return merged(spans), items
-
-
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
     """Lists of (item id as string, text), each of about ``block_bytes``."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text is not null")
@@ -119,7 +178,7 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes:
 FOUND = "spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, text, n_words, spans, items)`` of every document: merged word intervals
     inside occurrences of a window, and the sorted ids of the items found."""
     sc = docs.sparkSession.sparkContext
@@ -128,14 +187,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     kind = out.schema["doc_id"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for block in _item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        tables = sc.broadcast(build(block, window))
+        tables = sc.broadcast(Searchers(block, window))
 
         def run(batch: pa.RecordBatch, tables=tables) -> pa.RecordBatch:
             counts, spans, items = [], [], []
             for text, old, had in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
                 words = words_of(text)
                 counts.append(len(words))
-                new, found = find(words, tables.value)
+                new, found = tables.value.find(words)
                 if old:  # of the blocks before
                     new = merged([*new, *((x["start"], x["end"]) for x in old)])
                 spans.append([{"start": s, "end": e} for s, e in new])
@@ -156,16 +215,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
-def clean_only(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def clean_only(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, all columns as they were."""
     sc, out = docs.sparkSession.sparkContext, docs
     schema = docs.schema
     at = docs.columns.index(text_col)
     for block in _item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        tables = sc.broadcast(build(block, window))
+        tables = sc.broadcast(Searchers(block, window))
 
         def run(batch: pa.RecordBatch, tables=tables) -> pa.RecordBatch:
-            clean = [not any(next(s.search(words), None) for s in tables.value) for words in map(words_of, as_bytes(batch.column(at)))]
+            clean = [not tables.value.any_in(words_of(text)) for text in as_bytes(batch.column(at))]
             return batch.filter(pa.array(clean, pa.bool_()))
 
         out = arrow_map(out, run, schema)
