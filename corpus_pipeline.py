@@ -8,7 +8,6 @@ of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, mixing, quality, sharding, simhash
 from graphloom.llm.common import table, written
@@ -39,7 +38,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard."""
     found = sharding.shards(docs, limit_bytes=SHARD_BYTES)
-    return found.select(*docs.columns, sharding.shard_name().alias("shard"), F.col("__shard_bytes").alias("shard_bytes"))
+    return found.select("row.*", sharding.shard_name().alias("shard"), "shard_bytes")
 
 
 STAGES = [
