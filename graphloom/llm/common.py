@@ -95,7 +95,7 @@ def in_batches(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int) ->
         if held:
             yield flush()
 
-    return rows.mapInArrow(pack, "batch int, packed binary").repartition(n, "batch"), n
+    return rows.mapInArrow(pack, "batch int, packed binary").repartitionById(n, F.col("batch")), n
 
 
 def unpacked(table: pa.Table) -> pa.Table:

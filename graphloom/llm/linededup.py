@@ -348,9 +348,9 @@ def _once(sets: DataFrame) -> DataFrame:
 
 def _links(sets: DataFrame, batched: DataFrame, n: int) -> DataFrame:
     """Verified links of ``sets(name, ids, batches)`` with different names."""
-    asked = arrow_map(sets.select("name", "ids", "batches"), _requests, "batch int, name long, lead long, ids binary").repartition(n, "batch")
+    asked = arrow_map(sets.select("name", "ids", "batches"), _requests, "batch int, name long, lead long, ids binary").repartitionById(n, F.col("batch"))
     texts = batched.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(_answers, "name long, lead long, ids binary, texts array<binary>")
-    some = texts.withColumn("some", F.pmod(F.xxhash64("lead", F.pmod("name", F.lit(SALT))), F.lit(4 * n))).repartition(n, "some")
+    some = texts.withColumn("some", F.pmod(F.xxhash64("lead", F.pmod("name", F.lit(SALT))), F.lit(n)).cast("int")).repartitionById(n, F.col("some"))
     return some.groupBy("some").applyInArrow(_verified, LINKS)
 
 
@@ -404,7 +404,7 @@ def alike_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines found."""
     batched, n = in_batches(docs, id_col, text_col, batch_bytes)
     bands = batched.groupBy("batch").applyInArrow(lambda t: _batch_bands(t, n), "part int, batch int, keys binary, ids binary")
-    buckets = bands.repartition(n, "part").groupBy("part").applyInArrow(lambda t: _buckets(t, tile), "name long, ids binary, batches binary, hot long, tile int")
+    buckets = bands.repartitionById(n, F.col("part")).groupBy("part").applyInArrow(lambda t: _buckets(t, tile), "name long, ids binary, batches binary, hot long, tile int")
     once = _once(buckets)
     tiles = once.filter("hot is not null").select("hot", "tile", "ids", "batches")
     # links and the tiles of large buckets, in one job that shares its exchanges

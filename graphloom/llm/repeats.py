@@ -396,13 +396,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"windows have {GRAM} to 255 bytes")
     batched, n = in_batches(docs, id_col, text_col, batch_bytes)
     by_batch = lambda df: df.groupBy("batch")
-    by_part = lambda df: df.repartition(n, "part").groupBy("part")
+    by_part = lambda df: df.repartitionById(n, F.col("part")).groupBy("part")
     keys = by_batch(batched).applyInArrow(lambda t: _batch_keys(t, window, n), "part int, batch int, keys binary, weights binary")
-    shared = by_part(keys).applyInArrow(lambda t: _shared_keys(t, hot_bytes), "batch int, keys binary, hot binary").repartition(n, "batch")
+    shared = by_part(keys).applyInArrow(lambda t: _shared_keys(t, hot_bytes), "batch int, keys binary, hot binary").repartitionById(n, F.col("batch"))
     sent = by_batch(batched).cogroup(by_batch(shared)).applyInArrow(lambda d, w: _send_regions(d, w, window, n), "part int, batch int, numbers binary, keys binary, sizes binary, least binary, texts binary")
     judged = by_part(sent).applyInArrow(lambda t: _judge_regions(t, window), "batch int, region binary, cut binary, least binary")
     # the last step takes the shared keys and the judgements together
-    both = shared.unionByName(judged, allowMissingColumns=True).repartition(n, "batch")
+    both = shared.unionByName(judged, allowMissingColumns=True).repartitionById(n, F.col("batch"))
 
     def finish(d: pa.Table, more: pa.Table) -> pa.Table:
         is_key = more["keys"].is_valid()
