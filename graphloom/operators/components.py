@@ -14,8 +14,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round hangs the larger neighbours of every node on the smallest one around it,
     then the smaller ones. Rounds grow with the logarithm of the longest path. Minima are
-    aggregated before each shuffle, each round is a table in the shared folder, and the
-    driver sees one (count, checksum) row of it.
+    aggregated before each shuffle, each round is a table in the shared folder (the one before is
+    deleted), and the driver sees one (count, checksum) row of it.
     """
     base = written(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "star")
     loops, cur = base.filter("a = b").select("a"), base.filter("a <> b")
@@ -28,7 +28,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
-        cur = written(small.filter("a <> b").distinct(), "star")
+        cur = written(small.filter("a <> b").distinct(), "star", instead_of=cur)
         before, seen = seen, _mark(cur)
         if before == seen:
             break

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from graphloom.model import Anchors
+from graphloom.operators.pairs import PAIR_CAP, SUBSAMPLE_CAP
 
 #: The fixed curve, partition and parameters that single-operator queries use.
 ANCHORS = Anchors((1.1, 1.25, 1.4, 1.6), (0.70, 0.61, 0.52, 0.38))
 GAMMA = 1.0
 SEED = 42
-SAMPLE_DRAWS = 3000
+SAMPLING = 0.3
 CENTERS = (0.95, 1.2, 1.35, 1.45, 1.6)
 #: Centers whose second and fourth bins are empty.
 GAPPED = (0.2, 0.6, 1.2, 1.4, 3.0)
@@ -67,15 +68,77 @@ RW = f"rw AS (SELECT src, dst, weight, {cosine01('a.z', 'b.z')} AS sim, weight *
 RW_PLAIN = RW.replace("weight * (", "weight * 1.0 + 0 * (")
 TOT = "tot AS (SELECT sum(weight) AS two_m, sum(w_uv) AS two_m_w, avg(sim) AS g_average FROM rw)"
 PART = "part AS (SELECT node, node % 7 AS community FROM deg)"
-#: Draws of the seeded sample, from hex digits of md5.
-DRAW = """d AS (SELECT r, ('0x' || substr(md5('{seed}:' || r || ':u'), 1, 8))::BIGINT % n AS u, ('0x' || substr(md5('{seed}:' || r || ':v'), 1, 8))::BIGINT % n AS v
-  FROM range({draws}) t(r), (SELECT count(*) AS n FROM e)),
-pick AS (SELECT r, u, v FROM d WHERE u <> v ORDER BY r LIMIT {wanted}),
+#: Draws of the seeded sample, from hex digits of md5; as many as the method looks at.
+WANTED = f"least(trunc(n * (n - 1) / 2.0 * {SAMPLING}), {PAIR_CAP})::BIGINT"
+DRAW = """many AS (SELECT n, {wanted} AS wanted FROM (SELECT count(*) AS n FROM e)),
+d AS (SELECT r, ('0x' || substr(md5('{seed}:' || r || ':u'), 1, 8))::BIGINT % n AS u, ('0x' || substr(md5('{seed}:' || r || ':v'), 1, 8))::BIGINT % n AS v
+  FROM (SELECT n, unnest(range(2 * wanted + 64)) AS r FROM many)),
+pick AS (SELECT r, u, v FROM d WHERE u <> v ORDER BY r LIMIT (SELECT wanted FROM many)),
 sam AS (SELECT r, u, v, list_distance(a.z, b.z) AS d, {cos} AS sim FROM pick JOIN e a ON a.node = u JOIN e b ON b.node = v)"""
 
 
-def sample(wanted: int = SAMPLE_DRAWS) -> str:
-    return f"{E}, " + DRAW.format(seed=SEED, draws=2 * wanted + 64, wanted=wanted, cos=cosine01("a.z", "b.z"))
+def sample() -> str:
+    return f"{E}, " + DRAW.format(seed=SEED, wanted=WANTED, cos=cosine01("a.z", "b.z"))
+
+
+SUB = f"sub AS (SELECT r, d FROM sam ORDER BY md5('{SEED}:sub:' || r), r LIMIT {SUBSAMPLE_CAP})"
+
+
+def lloyd_list(xs: str, c: str, k: str) -> str:
+    """The centers after a round, of a list of values and a list of centers."""
+    inside = f"lambda x: (j = 1 OR x >= ({c}[j - 1] + {c}[j]) / 2) AND (j = {k} OR x < ({c}[j] + {c}[j + 1]) / 2)"
+    return f"list_sort(list_transform(range(1, {k} + 1), lambda j: coalesce(list_avg(list_filter({xs}, {inside})), {c}[j])))"
+
+
+def quantile_list(xs: str, k: str) -> str:
+    at = f"((j + 0.5) / {k} * (len({xs}) - 1))"
+    return f"list_transform(range(0, {k}), lambda j: {xs}[floor({at})::INT + 1] + ({at} - floor({at})) * ({xs}[floor({at})::INT + 2] - {xs}[floor({at})::INT + 1]))"
+
+
+def plusplus_sql() -> str:
+    """The race of each center, one after the other."""
+    parts = []
+    for i in range(FIXED_K):
+        u = f"((('0x' || substr(md5('{SEED}:{i}:' || r), 1, 8))::BIGINT + 0.5) / {1 << 32}.0)"
+        w = "least(" + ", ".join(f"(d - s{j}.c) ^ 2" for j in range(i)) + ")" if i else "1.0"
+        parts.append(f"s{i} AS (SELECT arg_min(d, -ln(u) / w) AS c FROM (SELECT d, {u} AS u, {w} AS w FROM sam{''.join(f', s{j}' for j in range(i))}) WHERE w > 0)")
+    picked = ", ".join(f"(SELECT c FROM s{i})" for i in range(FIXED_K))
+    return f"WITH {sample()}, {', '.join(parts)}, c AS (SELECT list_sort([{picked}]) AS c) SELECT i - 1 AS c, round(c.c[i], 6) AS center FROM c, range(1, {FIXED_K + 1}) t(i)"
+
+
+def calibration_sql() -> str:
+    """k by silhouette over the subsample, then the centers and mean similarities of all distances."""
+    which = lambda c, d: f"len(list_filter(range(1, k), lambda j: {d} >= ({c}[j] + {c}[j + 1]) / 2))"
+    return f"""WITH RECURSIVE {sample()}, {SUB}, few AS (SELECT list(d ORDER BY d) AS xs FROM sub), most AS (SELECT list(d ORDER BY d) AS xs FROM sam),
+ks AS (SELECT k, xs FROM few, range(2, 16) t(k)),
+km AS (SELECT k, 0 AS i, {quantile_list('xs', 'k')} AS c FROM ks UNION ALL SELECT km.k, i + 1, {lloyd_list('xs', 'c', 'km.k')} FROM km JOIN ks ON ks.k = km.k WHERE i < 29),
+placed AS (SELECT k, r, d, {which('c', 'd')} AS b FROM km, sub WHERE i = 29),
+bin AS (SELECT k, b, count(*) AS m, avg(d) AS mean FROM placed GROUP BY ALL),
+own AS (SELECT x.k, x.r, x.b, any_value(x.d) AS d, sum(abs(x.d - y.d)) / (count(*) - 1) AS a FROM placed x JOIN placed y ON x.k = y.k AND x.b = y.b GROUP BY x.k, x.r, x.b HAVING count(*) > 1),
+near AS (SELECT own.k, r, any_value(a) AS a, min(abs(d - mean)) AS o FROM own JOIN bin ON bin.k = own.k AND bin.b <> own.b GROUP BY own.k, r),
+best AS (SELECT k FROM (SELECT k, avg(CASE WHEN greatest(a, o) > 0 THEN (o - a) / greatest(a, o) ELSE 0 END) AS score FROM near GROUP BY k) ORDER BY score DESC, k LIMIT 1),
+kf AS (SELECT k, 0 AS i, {quantile_list('xs', 'k')} AS c FROM best, most UNION ALL SELECT k, i + 1, {lloyd_list('xs', 'c', 'k')} FROM kf, most WHERE i < 50),
+fin AS (SELECT k, c FROM kf WHERE i = 50),
+per AS (SELECT {which('c', 'd')} AS b, avg(sim) AS m FROM sam, fin GROUP BY 1),
+every AS (SELECT j - 1 AS b, c[j] AS center FROM (SELECT c, unnest(range(1, k + 1)) AS j FROM fin))
+SELECT b::INT AS c, round(center, 6) AS center, round(coalesce(last_value(m IGNORE NULLS) OVER (ORDER BY b), 0), 6) AS mean_sim FROM every LEFT JOIN per USING (b)"""
+
+
+def connectivity_sql() -> str:
+    """Reachability over the edges that are there after each step."""
+    ops = ", ".join(f"({t}, '{op}', {u}, {v})" for t, (op, u, v) in enumerate(CONNECTIVITY))
+    return f"""WITH RECURSIVE ops AS (SELECT * FROM (VALUES {ops}) t(step, op, u, v)), node AS (SELECT DISTINCT unnest([u, v]) AS x FROM ops),
+last AS (SELECT t.step AS t, o.u, o.v, arg_max(o.op, o.step) AS op FROM ops t JOIN ops o ON o.step <= t.step AND o.op <> 'ask' GROUP BY ALL),
+link AS (SELECT t, u, v FROM last WHERE op = 'insert' UNION ALL SELECT t, v, u FROM last WHERE op = 'insert'),
+reach AS (SELECT step AS t, x AS a, x AS b FROM ops, node UNION SELECT reach.t, a, v FROM reach JOIN link ON link.t = reach.t AND link.u = b),
+low AS (SELECT t, a, min(b) AS root FROM reach GROUP BY ALL)
+SELECT step, op, ops.u, ops.v, x.root = y.root AS connected, (SELECT count(DISTINCT root) FROM low WHERE low.t = step) AS components
+FROM ops JOIN low x ON x.t = step AND x.a = ops.u JOIN low y ON y.t = step AND y.a = ops.v"""
+
+
+def literal_rows(rows: list[tuple], names: str) -> str:
+    show = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x)
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") t({names})"
 
 
 def objective(mode: str) -> str:
@@ -122,6 +185,32 @@ LITERAL_EDGES = ((1, 2, 1.0), (2, 3, 2.0), (2, 1, 4.0), (3, 3, 5.0), (4, 1, 0.5)
 LITERAL = "g AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {u}, {v}, {w}::DOUBLE)" for i, (u, v, w) in enumerate(LITERAL_EDGES)) + ") t(line, u, v, weight))"
 
 
+#: Two cliques of five with one edge between them, and a vector for each clique.
+CLIQUES = tuple((a, b) for g in (range(5), range(5, 10)) for a in g for b in g if a < b) + ((4, 5),)
+CLIQUE_VECTORS = tuple((i, (1.0, 0.0) if i < 5 else (0.0, 1.0)) for i in range(10))
+#: Steps on a graph that gains and loses edges.
+CONNECTIVITY = (
+    ("insert", 1, 2), ("insert", 2, 3), ("insert", 3, 1), ("ask", 1, 4), ("insert", 4, 5), ("insert", 3, 4), ("ask", 1, 5), ("delete", 1, 2), ("delete", 3, 4), ("ask", 1, 5), ("ask", 1, 2),
+    ("insert", 5, 1), ("delete", 2, 3), ("ask", 2, 5), ("ask", 4, 3), ("delete", 3, 1), ("insert", 2, 3), ("insert", 3, 4), ("ask", 2, 1), ("delete", 4, 5), ("ask", 2, 1),
+)
+#: An edge list and a vector file with the cases that readers have to stand, and what they hold.
+NETWORK = ("a b", "b c 2.5", "", "   ", "c  a\t0.5x", "lone", "a b 4", "d d -1e1 more")
+EMBEDDING = ("a 1 2", "", "b 3 4 5", "c 0.5 -1", "a 7 8", "e 1", "d 2 2 2")
+READ_ROWS = [("a", "b", 0, 1, 1.0, 7.0, None), ("b", "c", 1, 2, 2.5, None, 0.5), ("c", "a", 2, 0, 0.5, 0.5, 7.0), ("lone", "", 3, 4, 1.0, None, None), ("a", "b", 0, 1, 4.0, 7.0, None), ("d", "d", 5, 5, -10.0, None, None)]
+#: The runs of the log: (network, gamma, number of g).
+RUNS = (("T35", 1.0, 2), ("T35", 1.0, 2), ("T35", 0.5, 5), ("T35", 1.0, 2))
+
+
+def runs_sql() -> str:
+    mode = {2: "nog", 5: "gaverage"}
+    rows, seen = [], {}
+    for network, gamma, g in RUNS:
+        folder = f"{network}_MGA_cosine_g{mode[g]}_bin5_gamma{gamma:g}_samp0.3"
+        seen[folder] = seen.get(folder, 0) + 1
+        rows.append((network, "MGA", "cosine", f"{gamma:g}", "0.3", mode[g], 5, seen[folder], folder))
+    return literal_rows(rows, "Dataset, Algorithm, Phi, Gamma, Sampling, Bin_Method, Bin_Num, Idx, Run_Dir")
+
+
 def adjacent_pairs(select: str) -> str:
     return f"WITH {E} SELECT a.node AS u, b.node AS v, {select} FROM e a JOIN e b ON b.node = a.node + 1"
 
@@ -149,13 +238,19 @@ SELECT 'degree' AS what, node AS a, node AS b, round(k, 6) AS x FROM deg UNION A
         "weighted_totals": f"WITH {threshold(0.35)}, {ADJ}, {RW}, {TOT} SELECT round(two_m, 4) AS two_m, round(two_m_w, 4) AS two_m_w, round(g_average, 6) AS g_average FROM tot",
         "pairs_exhaustive": f"WITH {E} SELECT a.node AS u, b.node AS v, round(list_distance(a.z, b.z), 6) AS d, round({cosine01('a.z', 'b.z')}, 6) AS sim FROM e a JOIN e b ON a.node < b.node",
         "pairs_sampled": f"WITH {sample()} SELECT r, u, v, round(d, 6) AS d, round(sim, 6) AS sim FROM sam",
-        "subsample_sorted": f"WITH {sample()} SELECT r, round(d, 6) AS d FROM (SELECT r, d FROM sam ORDER BY md5('{SEED}:sub:' || r), r LIMIT 500)",
-        "sample_size": "SELECT n, least(trunc(n * (n - 1) / 2.0 * 0.3), 5000000)::BIGINT AS wanted FROM (SELECT count(*) AS n FROM embeddings)",
+        "subsample_sorted": f"WITH {sample()}, {SUB} SELECT r, round(d, 6) AS d FROM sub",
+        "sample_size": f"SELECT n, {WANTED} AS wanted FROM (SELECT count(*) AS n FROM embeddings)",
+        "kmeans_plusplus": plusplus_sql(),
+        "calibration": calibration_sql(),
+        "run_log": runs_sql(),
+        "text_sources": literal_rows(READ_ROWS, "u_name, v_name, u, v, weight, zu, zv"),
+        "dynamic_connectivity": connectivity_sql(),
+        **{n: literal_rows([(i, i // 5) for i in range(10)], "node, community") for n in ("mga_cliques", "mga_bulk_cliques", "bgd_cliques")},
         "kmeans_seed_quantile": f"WITH {sample()}, c AS (SELECT [{', '.join(f'quantile_cont(d, {(i + 0.5) / FIXED_K!r})' for i in range(FIXED_K))}] AS c FROM sam) SELECT i - 1 AS c, round(c.c[i], 6) AS center FROM c, range(1, {FIXED_K + 1}) t(i)",
         "kmeans_step": f"WITH {sample()} SELECT {bins('d', mids(CENTERS))} AS c, round(avg(d), 6) AS center, count(*) AS n FROM sam GROUP BY 1",
         "kmeans_fixed_iters": f"WITH {sample()}, {lloyd_chain()} SELECT i - 1 AS c, round(c[i], 6) AS center FROM c{FIXED_ROUNDS}, range(1, {FIXED_K + 1}) t(i)",
         "kmeans_wcss": f"WITH {sample()}, b AS (SELECT d, {bins('d', mids(CENTERS))} AS c FROM sam) SELECT round(sum((d - ([{', '.join(f'{c}::DOUBLE' for c in CENTERS)}])[c + 1]) ^ 2), 4) AS wcss FROM b",
-        "silhouette_1d": f"""WITH {sample(300)}, x AS (SELECT r, d, {bins('d', mids(CENTERS))} AS c FROM sam), size AS (SELECT c, count(*) AS m FROM x GROUP BY c),
+        "silhouette_1d": f"""WITH {sample()}, {SUB}, x AS (SELECT r, d, {bins('d', mids(CENTERS))} AS c FROM sub), size AS (SELECT c, count(*) AS m FROM x GROUP BY c),
 pair AS (SELECT a.r, a.c, b.c AS other, sum(abs(a.d - b.d)) AS total, count(*) AS n FROM x a CROSS JOIN x b GROUP BY ALL),
 ab AS (SELECT r, max(CASE WHEN pair.c = other THEN total / (n - 1) END) AS a, min(CASE WHEN pair.c <> other THEN total / n END) AS b FROM pair JOIN size ON size.c = pair.c WHERE m > 1 GROUP BY r)
 SELECT round(avg(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS score FROM ab""",

@@ -22,10 +22,11 @@ from graphloom.operators import pairs as P
 from graphloom.operators import paths
 from graphloom.operators.components import components
 from graphloom.operators.numbering import dense_number, renumber
+from graphloom.plans.connectivity import DynamicConnectivity
 from graphloom.plans.detect import detect
 from graphloom.plans.mga import run_mga
-from graphloom.sources import derived, sinks
-from graphloom.storage import written
+from graphloom.sources import derived, sinks, text
+from graphloom.storage import fresh_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 rnd = lambda c, n=6: F.round(F.col(c) if isinstance(c, str) else c, n)
@@ -105,8 +106,11 @@ def pairs_exhaustive(spark, sf):
     return P.pair_rows(derived.embeddings(spark, sf), "cosine").select("u", "v", rnd("d").alias("d"), rnd("sim").alias("sim"))
 
 
-def _sample(spark, sf, wanted: int = O.SAMPLE_DRAWS) -> DataFrame:
-    found = P.sampled_pairs(derived.embeddings(spark, sf), wanted, O.SEED)
+def _sample(spark, sf) -> DataFrame:
+    """As many pairs as the method looks at."""
+    vectors = derived.embeddings(spark, sf)
+    n = vectors.count()
+    found = P.sampled_pairs(vectors, P.sample_size(n, O.SAMPLING)[0], O.SEED, n)
     a, b = F.col("a.z"), F.col("b.z")
     return found.select("r", F.col("a.node").alias("u"), F.col("b.node").alias("v"), K.vec_dist(a, b).alias("d"), K.cosine_sim_01(a, b).alias("sim"))
 
@@ -116,12 +120,12 @@ def pairs_sampled(spark, sf):
 
 
 def subsample_sorted(spark, sf):
-    return P.subsample(_sample(spark, sf), 500, O.SEED).select("r", rnd("d").alias("d"))
+    return P.subsample(_sample(spark, sf), seed=O.SEED).select("r", rnd("d").alias("d"))
 
 
 def sample_size(spark, sf):
     n = derived.embeddings(spark, sf).count()
-    return spark.createDataFrame([(n, P.sample_size(n, 0.3)[0])], "n long, wanted long")
+    return spark.createDataFrame([(n, P.sample_size(n, O.SAMPLING)[0])], "n long, wanted long")
 
 
 def _center_rows(spark, centers: list[float]) -> DataFrame:
@@ -153,7 +157,7 @@ def kmeans_plusplus(spark, sf):
 
 
 def silhouette_1d(spark, sf):
-    rows = written(_sample(spark, sf, 300), "distances")
+    rows = written(P.subsample(_sample(spark, sf), seed=O.SEED), "distances")
     return A.silhouette(rows, K.bin_of(F.col("d"), A.midpoints(list(O.CENTERS))), len(O.CENTERS)).select(rnd("score").alias("score"))
 
 
@@ -167,7 +171,7 @@ def gd_interp(spark, sf):
 
 def calibration(spark, sf):
     anchors, _ = A.calibrate(derived.embeddings(spark, sf), Config())
-    return spark.createDataFrame(list(zip(range(len(anchors.centers)), anchors.centers, anchors.means)), "c int, center double, mean_sim double")
+    return spark.createDataFrame(list(zip(range(len(anchors.centers)), anchors.centers, anchors.means)), "c int, center double, mean_sim double").select("c", rnd("center").alias("center"), rnd("mean_sim").alias("mean_sim"))
 
 
 def _g5(spark, sf, mode: str = "kmeans"):
@@ -303,9 +307,45 @@ def partition_sink(spark, sf):
 
 
 def run_log(spark, sf):
-    run = detect(t35(spark, sf), derived.embeddings(spark, sf), Config(g=2))
-    row = ("T35", "MGA", "cosine", 1.0, 0.3, "nog", run.bins, sinks.run_folder("T35", Config(g=2), run.bins))
-    return spark.createDataFrame([row], "Dataset string, Algorithm string, Phi string, Gamma double, Sampling double, Bin_Method string, Bin_Num int, Run_Dir string")
+    """Runs that are logged one after the other, and the log read back (times left out)."""
+    log = fresh_path(spark, "summary")
+    done = {}
+    for network, gamma, g in O.RUNS:
+        config = Config(gamma=gamma, g=g)
+        if config not in done:
+            done[config] = detect(t35(spark, sf), derived.embeddings(spark, sf), config)
+        sinks.log_run(spark, log, network, config, done[config].bins, done[config].precompute_s, done[config].algorithm_s)
+    times = F.abs(F.col("Total_Time") - F.col("Precompute_Time") - F.col("Algorithm_Time")) < 1e-3
+    return sinks.read_log(spark, log).filter(times).select(*[c for c in sinks.LOG_COLUMNS if not c.endswith("_Time")])
+
+
+def text_sources(spark, sf):
+    """An edge list and a vector file, written as text, read and encoded."""
+    paths_ = []
+    for name, lines in (("network", O.NETWORK), ("embedding", O.EMBEDDING)):
+        paths_.append(fresh_path(spark, name))
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(paths_[-1])
+    edges, vectors, nodes = text.load_graph(spark, *paths_)
+    side = lambda k: nodes.join(vectors, "node", "left").select(F.col("node").alias(k), F.col("name").alias(f"{k}_name"), F.get("z", F.lit(0)).alias(f"z{k}"))
+    return edges.join(side("u"), "u").join(side("v"), "v").select("u_name", "v_name", "u", "v", "weight", "zu", "zv")
+
+
+def dynamic_connectivity(spark, sf):
+    graph, rows = DynamicConnectivity(), []
+    for _, u, v in O.CONNECTIVITY:
+        graph.add_node(u)
+        graph.add_node(v)
+    for step, (op, u, v) in enumerate(O.CONNECTIVITY):
+        if op != "ask":
+            getattr(graph, op)(u, v)
+        rows.append((step, op, u, v, graph.connected(u, v), graph.component_count()))
+    return spark.createDataFrame(rows, "step int, op string, u int, v int, connected boolean, components long")
+
+
+def cliques(spark, sf, **config):
+    edges = spark.createDataFrame([(u, v, 1.0) for u, v in O.CLIQUES], "u long, v long, weight double")
+    vectors = spark.createDataFrame([(i, list(z)) for i, z in O.CLIQUE_VECTORS], "node long, z array<double>")
+    return detect(edges, vectors, Config(g=2, **config)).partition
 
 
 def queries() -> dict[str, Query]:
@@ -313,7 +353,7 @@ def queries() -> dict[str, Query]:
         top_strength, graph_edges, graph_parallel_selfloop, phi_zero_vector, stable_sigmoid, centroids, embedding_zero_fill, weighted_degree, graph_totals, edge_reweight, weighted_totals,
         pairs_exhaustive, pairs_sampled, subsample_sorted, sample_size, kmeans_seed_quantile, kmeans_step, kmeans_fixed_iters, kmeans_wcss, kmeans_plusplus, silhouette_1d, gd_bin_means, gd_interp, calibration,
         node_comm_weight, penalty_join, penalty_exclude, best_move, contract_graph, supernode_stats, compose_labels, connected_components, edge_length, sssp, path_counts, edge_betweenness, rank_edges,
-        split_delta, mga, mga_bulk, bgd, partition_sink, run_log,
+        split_delta, mga, mga_bulk, bgd, partition_sink, run_log, text_sources, dynamic_connectivity,
     )
     return {f.__name__: f for f in plain} | {
         "vec_dist": partial(_next_pairs, dist_sq=K.dist_sq, dist=K.vec_dist),
@@ -321,6 +361,9 @@ def queries() -> dict[str, Query]:
         "phi_pearson": partial(_next_pairs, phi=K.pearson_sim_01),
         "phi_sigmoid": partial(_next_pairs, phi=K.sigmoid_sim),
         "renumber": renumbered,
+        "mga_cliques": cliques,
+        "mga_bulk_cliques": partial(cliques, solver="bulk"),
+        "bgd_cliques": partial(cliques, algorithm="BGD"),
         **{f"objective_{m}": partial(objective, m) for m in ("kmeans", "nog", "nokk2m", "nophi", "gaverage")},
     }
 

@@ -11,7 +11,7 @@ import csv
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.model import Config
@@ -59,6 +59,26 @@ def append_log(path: Path, row: dict) -> None:
         out.writerow(row)
 
 
+_LOG_SCHEMA = ", ".join(f"{c} {'long' if c in ('Bin_Num', 'Idx') else 'double' if c.endswith('_Time') else 'string'}" for c in LOG_COLUMNS)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a log that ``log_run`` keeps in the store."""
+    return spark.read.schema(_LOG_SCHEMA).option("header", True).csv(path)
+
+
+def log_run(spark: SparkSession, path: str, network: str, config: Config, bins: int, precompute_s: float, algorithm_s: float) -> int:
+    """Appends a run to a log in the store, as CSV with the same header in every part, and
+    returns its number: one more than the log has for its folder. For one writer at a time."""
+    name = run_folder(network, config, bins)
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(here)
+    taken = read_log(spark, path).filter(F.col("Run_Dir") == name).agg(F.max("Idx").alias("n")).first()["n"] if there else None
+    row = (network, config.algorithm, config.phi, f"{config.gamma:g}", f"{config.sampling:g}", config.mode, bins, (taken or 0) + 1, precompute_s, algorithm_s, precompute_s + algorithm_s, name)
+    spark.createDataFrame([row], _LOG_SCHEMA).coalesce(1).write.mode("append").option("header", True).csv(path)
+    return row[LOG_COLUMNS.index("Idx")]
+
+
 def save_run(partition: DataFrame, nodes: DataFrame, network: str, config: Config, bins: int, precompute_s: float, algorithm_s: float, output: str) -> Path:
     """Writes a run under ``output`` on the driver's disk and returns its file. The lines are
     streamed to the driver partition by partition; ``write_partition`` is the way for graphs

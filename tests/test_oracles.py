@@ -7,7 +7,7 @@ import pytest
 from graphloom import registry
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"calibration", "mga", "mga_bulk", "bgd", "run_log"}
+SLOW = {"mga", "mga_bulk", "bgd"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
 
