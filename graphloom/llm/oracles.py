@@ -84,3 +84,77 @@ h AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(
 it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (rid) LEFT JOIN it USING (rid)"""
+
+
+def repeats_sql(window: int = 50) -> str:
+    """Bytes are pairs of hex digits, so that every place can be a start."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, {(1 << 63) - 1}) AS place, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT rid, place, n, b, substr(h, 512 * b + 1, {512 + 2 * window}) AS h FROM (SELECT rid, place, n, h, unnest(range(0, (n - {window - 1} + 255) // 256)) AS b FROM d WHERE n >= {window})),
+w AS (SELECT rid, place, 256 * b + j AS k, substr(h, 2 * j + 1, {2 * window}) AS s FROM (SELECT *, unnest(range(0, least(256, n - {window - 1} - 256 * b))) AS j FROM part)),
+f AS (SELECT s, min(place) AS first FROM w GROUP BY s), hit AS (SELECT rid, k FROM w JOIN f USING (s) WHERE first < place),
+new AS (SELECT rid, k, CASE WHEN k <= lag(k) OVER (PARTITION BY rid ORDER BY k) + {window} THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT rid, k, sum(new) OVER (PARTITION BY rid ORDER BY k) AS g FROM new), span AS (SELECT rid, min(k) AS a, max(k) + {window} AS b FROM run GROUP BY rid, g),
+cut AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS p FROM span),
+c AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept FROM cut JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN c USING (rid)"""
+
+
+#: Primes of XXH64; fixed values.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def simhash_sql(shingle: int = 3, seed: int = 42, radius: int = 3) -> str:
+    """XXH64 is written out in 128-bit arithmetic: a shingle's bytes are hex digits, its steps a
+    list that is folded. Fingerprints link where they differ in few bits; components by recursion."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in PRIMES)
+    m = "18446744073709551616::UHUGEINT"
+    mul = lambda a, b: f"((({a}) * {b}) % {m})"
+    add = lambda a, b: f"((({a}) + {b}) % {m})"
+    rot = lambda a, r: f"((({a}) * {1 << r}::UHUGEINT) % {m} + ({a}) // {1 << (64 - r)}::UHUGEINT)"
+    lane = lambda at, n: "('0x' || " + " || ".join(f"substr(h, {at} + {2 * (n - 1 - k)}, 2)" for k in range(n)) + ")::UBIGINT::UHUGEINT"
+    round_ = lambda acc, x: mul(rot(add(acc, mul(x, p2)), 31), p1)
+    # the four sums of a text of 32 bytes or more, folded over its stripes
+    start = (f"{(seed + PRIMES[0] + PRIMES[1]) % (1 << 64)}", f"{(seed + PRIMES[1]) % (1 << 64)}", f"{seed}", f"{(seed - PRIMES[0]) % (1 << 64)}")
+    sums = [f"list_reduce(list_prepend({start[i]}::UHUGEINT, list_transform(range(0, n // 32), lambda s: {lane(f'(64 * s + {16 * i + 1})', 8)})), lambda acc, x: {round_('acc', 'x')})" for i in range(4)]
+    joined = add(add(add(rot("v1", 1), rot("v2", 7)), rot("v3", 12)), rot("v4", 18))
+    for v in ("v1", "v2", "v3", "v4"):
+        joined = add(mul(f"xor({joined}, {round_('0::UHUGEINT', v)})", p1), p4)
+    eight = f"list_transform(range(0, (n % 32) // 8), lambda s: {lane('(64 * (n // 32) + 16 * s + 1)', 8)})"
+    four = lane("(16 * (n // 8) + 1)", 4)
+    one = "list_transform(range(0, n % 4), lambda s: ('0x' || substr(h, 8 * (n // 4) + 2 * s + 1, 2))::UBIGINT::UHUGEINT)"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), {FOLD}), '[^\\x20\\x09-\\x0D]+')"
+    bits = "(" + " + ".join(f"CASE WHEN 2 * sum((hash >> {b}) & 1) > count(*) THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(64)) + ")::UBIGINT"
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+g AS (SELECT rid, array_to_string(w[k : k + {shingle - 1}], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - {shingle - 1}, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+u AS (SELECT DISTINCT s, strlen(s) AS n, hex(encode(s)) AS h FROM g),
+a AS (SELECT *, CASE WHEN n >= 32 THEN {sums[0]} END AS v1, CASE WHEN n >= 32 THEN {sums[1]} END AS v2, CASE WHEN n >= 32 THEN {sums[2]} END AS v3, CASE WHEN n >= 32 THEN {sums[3]} END AS v4 FROM u),
+x0 AS (SELECT s, n, h, {add(f"CASE WHEN n >= 32 THEN {joined} ELSE {(seed + PRIMES[4]) % (1 << 64)}::UHUGEINT END", "n::UHUGEINT")} AS x FROM a),
+x1 AS (SELECT s, n, h, list_reduce(list_prepend(x, {eight}), lambda acc, l: {add(mul(rot(f"xor(acc, {round_('0::UHUGEINT', 'l')})", 27), p1), p4)}) AS x FROM x0),
+x2 AS (SELECT s, n, h, CASE WHEN n % 8 >= 4 THEN {add(mul(rot(f"xor(x, {mul(four, p1)})", 23), p2), p3)} ELSE x END AS x FROM x1),
+x3 AS (SELECT s, list_reduce(list_prepend(x, {one}), lambda acc, l: {mul(rot(f"xor(acc, {mul('l', p5)})", 11), p1)}) AS x FROM x2),
+x4 AS (SELECT s, {mul(f"xor(x, x // {1 << 33}::UHUGEINT)", p2)} AS x FROM x3), x5 AS (SELECT s, {mul(f"xor(x, x // {1 << 29}::UHUGEINT)", p3)} AS x FROM x4),
+hs AS (SELECT s, xor(x, x // {1 << 32}::UHUGEINT)::UBIGINT AS hash FROM x5),
+f AS (SELECT rid, {bits} AS fp FROM g JOIN hs USING (s) GROUP BY rid), fps AS (SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM d LEFT JOIN f USING (rid)),
+node AS (SELECT fp, min(doc_id) AS least FROM fps GROUP BY fp), link AS (SELECT a.fp AS x, b.fp AS y FROM node a JOIN node b ON bit_count(xor(a.fp, b.fp)) <= {radius}),
+reach AS (SELECT fp AS x, fp AS y FROM node UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+c AS (SELECT x AS fp, min(least) AS component_id FROM reach JOIN node ON node.fp = y GROUP BY x)
+SELECT doc_id, lower(printf('%016x', fp)) AS fingerprint, component_id FROM fps JOIN c USING (fp)"""
+
+
+def lines_sql(shingle: int = 5) -> str:
+    """All alike pairs, by exact similarity: two sets of similarity 0.8 share one of the rarest
+    ``n - ceil(0.8 n) + 1`` shingles of each. Ids are taken to be unique."""
+    return f"""WITH RECURSIVE x AS (SELECT doc_id, no - 1 AS no, string_split(text, chr(10))[no] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents WHERE text IS NOT NULL)),
+l AS (SELECT * FROM x WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+u AS (SELECT line, row_number() OVER (ORDER BY min(doc_id) NULLS LAST, line) AS i FROM l GROUP BY line),
+sh AS (SELECT DISTINCT i, substr(line, k, {shingle}) AS g FROM (SELECT i, line, unnest(range(1, len(line) - {shingle - 2})) AS k FROM u WHERE len(line) >= {shingle})),
+n AS (SELECT i, count(*) AS n FROM sh GROUP BY i), fr AS (SELECT g, count(*) AS f FROM sh GROUP BY g),
+pre AS (SELECT i, g, n FROM sh JOIN n USING (i) JOIN fr USING (g) QUALIFY row_number() OVER (PARTITION BY i ORDER BY f, g) <= n - (4 * n + 4) // 5 + 1),
+cand AS (SELECT DISTINCT a.i AS a, b.i AS b, a.n AS na, b.n AS nb FROM pre a JOIN pre b USING (g) WHERE a.i < b.i AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
+pair AS (SELECT a, b FROM cand JOIN sh x ON x.i = a JOIN sh y ON y.i = b AND y.g = x.g GROUP BY a, b, na, nb HAVING 10 * count(*) >= 8 * (na + nb - count(*))),
+link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach AS (SELECT a AS i, a AS root FROM link UNION SELECT b, root FROM reach JOIN link ON a = i),
+root AS (SELECT i, min(root) AS root FROM reach GROUP BY i),
+p AS (SELECT doc_id, no, row_number() OVER (PARTITION BY coalesce(root, i) ORDER BY doc_id NULLS LAST, no) AS place FROM l JOIN u USING (line) LEFT JOIN root USING (i)),
+k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (place = 1) AS n_kept, string_agg(no::VARCHAR, ',' ORDER BY no) FILTER (place = 1) AS kept_lines FROM p GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, coalesce(kept_lines, '') AS kept_lines FROM documents LEFT JOIN k USING (doc_id)"""
