@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .common import arrow_map, as_bytes
 
 #: Bytes of item text whose tables are broadcast together; the tables take some ten times as much.
 BLOCK_BYTES = 8 << 20
+#: Words that are searched together, unless one text has more.
+RUN_WORDS = 200_000
 #: Every byte that separates words becomes a blank, A-Z become a-z.
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -134,24 +137,45 @@ class Searchers:
                 by_length[min(window, len(words))].append((i, words))
         self.each = [WuManber([w for _, w in own], np.array([i for i, _ in own]), m, len(self.numbers)) for m, own in sorted(by_length.items())]
 
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        get = self.numbers.get
-        return np.array([get(w, -1) for w in words], np.int32)
-
-    def any_in(self, words: list[bytes]) -> bool:
-        text = self.numbered(words)
-        return any(next(s.search(text), None) for s in self.each)
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Merged word intervals inside occurrences, and the items found."""
-        text, spans, items = self.numbered(words), [], set()
-        for s in self.each:
-            seen = set()
-            for start, window in s.search(text):
-                spans.append((start, start + s.m))
-                seen.add(window)
-            items.update(i for w in seen for i in s.items(w))
-        return merged(spans), {self.names[i] for i in items}
+    def searched(self, texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, list[tuple[int, int, WuManber, int]]]]:
+        """Of runs of texts: (first text, the number after the last one, words of each, their
+        occurrences as (text, start, searcher, window)). The texts of a run are searched as one,
+        with a word of no item between two of them."""
+        get, first = self.numbers.get, 0
+        while first < len(texts):
+            run, counts, last = [], [], first
+            while last < len(texts) and len(run) < RUN_WORDS:
+                words = words_of(texts[last])
+                run.extend(map(get, words, repeat(-1)))
+                run.append(-1)
+                counts.append(len(words))
+                last += 1
+            begin = np.cumsum(np.array(counts) + 1) - np.array(counts) - 1
+            text, found = np.array(run, np.int32), []
+            for s in self.each:
+                for start, window in s.search(text):
+                    doc = int(np.searchsorted(begin, start, side="right")) - 1
+                    found.append((first + doc, start - int(begin[doc]), s, window))
+            yield first, last, np.array(counts), found
+            first = last
+
+    def found(self, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
+        """(number of words, merged word intervals inside occurrences, items) of each text."""
+        for first, last, counts, hits in self.searched(texts):
+            spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            windows: dict[int, set] = defaultdict(set)
+            for doc, start, s, window in hits:
+                spans[doc].append((start, start + s.m))
+                windows[doc].add((s.m, window))
+            of = {s.m: s for s in self.each}
+            for doc in range(first, last):
+                items = {self.names[i] for m, w in windows.get(doc, ()) for i in of[m].items(w)}
+                yield int(counts[doc - first]), merged(spans.get(doc, [])), items
+
+    def hit(self, texts: list[bytes]) -> list[bool]:
+        """Whether each text has an occurrence."""
+        some = {doc for *_, hits in self.searched(texts) for doc, *_ in hits}
+        return [i in some for i in range(len(texts))]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -191,10 +215,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
         def run(batch: pa.RecordBatch, tables=tables) -> pa.RecordBatch:
             counts, spans, items = [], [], []
-            for text, old, had in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
-                words = words_of(text)
-                counts.append(len(words))
-                new, found = tables.value.find(words)
+            each = tables.value.found(as_bytes(batch.column("text")))
+            for (count, new, found), old, had in zip(each, batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
+                counts.append(count)
                 if old:  # of the blocks before
                     new = merged([*new, *((x["start"], x["end"]) for x in old)])
                 spans.append([{"start": s, "end": e} for s, e in new])
@@ -224,7 +247,7 @@ def clean_only(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         tables = sc.broadcast(Searchers(block, window))
 
         def run(batch: pa.RecordBatch, tables=tables) -> pa.RecordBatch:
-            clean = [not tables.value.any_in(words_of(text)) for text in as_bytes(batch.column(at))]
+            clean = [not x for x in tables.value.hit(as_bytes(batch.column(at)))]
             return batch.filter(pa.array(clean, pa.bool_()))
 
         out = arrow_map(out, run, schema)
