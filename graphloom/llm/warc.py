@@ -4,8 +4,9 @@ Writing: each task packs its records into archives, a ZIP file with two stored m
 ``archive/data.warc.gz`` (records compressed one by one) and ``indexes/index.cdxj``, in
 the shared folder. Reading: the end
 of the file gives the central directory (ZIP64 where sizes ask for it), the directory
-gives the places of the stored members, the index gives the place of each record, and
-each record is one range read. Nothing is extracted or read twice.
+gives the places of all stored members under ``archive/`` and ``indexes/``, the indexes
+(CDXJ) give the member and place of each record, and each record is one range read; a
+member that no index names is read through. Nothing is extracted or read twice.
 
 Of records with equal payloads of at least ``least_bytes`` bytes that with the smallest
 page id is a response, the others revisit it.
@@ -23,13 +24,16 @@ are named by task attempt, and only those listed by tasks that succeeded are rea
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
+import itertools
 import json
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -122,22 +126,40 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
+KEPT_TYPES = ("response", "revisit", "resource")
+
+
+def _fields(head: bytes) -> tuple[str, dict[str, str]]:
+    """First line and lower-cased header fields of a header block."""
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    pairs = (x.partition(":") for x in lines)
+    return first, {k.strip().lower(): v.removeprefix(" ") for k, colon, v in pairs if colon}
+
+
 def parse_record(raw: bytes) -> dict:
-    """Headers and payload of one WARC record."""
+    """Headers and payload of one WARC record. A payload digest in SHA-256 or SHA-1 (hex or
+    base 32) is compared with the payload. The digest returned is the payload's SHA-256, of a
+    revisit what the record states (null if nothing)."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+    first, fields = _fields(head)
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = dict(x.split(": ", 1) for x in lines)
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    sizes = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    revisit = fields["WARC-Type"] == "revisit"
-    if not revisit and hashlib.sha256(payload).hexdigest() != digest:
-        raise ValueError("a payload does not match its digest")
+    block = rest[: int(fields["content-length"])]
+    payload, http = block, {}
+    if block.startswith(b"HTTP/"):
+        http_head, _, payload = block.partition(b"\r\n\r\n")
+        http = _fields(http_head)[1]
+    revisit = fields["warc-type"] == "revisit"
+    kind, _, digest = fields.get("warc-payload-digest", "").partition(":")
+    found = hashlib.sha256(payload).hexdigest()
+    if not revisit and kind in ("sha256", "sha1"):
+        own = bytes.fromhex(found) if kind == "sha256" else hashlib.sha1(payload).digest()
+        if digest.lower() not in (own.hex(), base64.b32encode(own).decode().rstrip("=").lower()):
+            raise ValueError("a payload does not match its digest")
+    stated = found if not revisit else digest or None
     number = lambda k: int(fields[k]) if k in fields else None
-    return {"page_id": number("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "payload_digest": digest, "payload_bytes": sizes[0] if revisit else len(payload), "refers_to": number("X-Refers-To-Page-ID"), "payload": payload}
+    size = int(http.get("content-length", 0)) if revisit else len(payload)
+    return {"page_id": number("x-page-id"), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_digest": stated, "payload_bytes": size, "refers_to": number("x-refers-to-page-id"), "payload": payload}
 
 
 def marked(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
@@ -160,7 +182,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         data, index = io.BytesIO(), []
         for page_id, url, digest, size, revisit, refers_to, html in rows:
             record = gzip.compress(record_bytes(page_id, url, (html or "").encode(), digest, size, refers_to, revisit), 1, mtime=0)
-            index.append(json.dumps({"offset": data.tell(), "length": len(record), "page_id": page_id, "digest": digest}))
+            index.append(json.dumps({"filename": DATA.removeprefix("archive/"), "offset": data.tell(), "length": len(record), "page_id": page_id, "digest": digest}))
             data.write(record)
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
@@ -197,16 +219,88 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 _KINDS = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 
 
+def chunks(file: RangeFile, at: int, size: int, n: int = 1 << 20) -> Iterator[bytes]:
+    for start in range(at, at + size, n):
+        yield file.read(start, min(n, at + size - start))
+
+
+def index_lines(file: RangeFile, at: int, size: int, packed: bool) -> Iterator[dict]:
+    """Entries of a CDXJ member: ``key timestamp {json}`` lines, or the JSON alone. Lines
+    without JSON (headers, blanks) are passed over."""
+    rest, pieces = b"", chunks(file, at, size)
+    for piece in itertools.chain(unpacked(pieces) if packed else pieces, [b"\n"]):
+        *lines, rest = (rest + piece).split(b"\n")
+        for line in lines:
+            brace = line.find(b"{")
+            if brace >= 0 and not line.startswith(b"!"):
+                yield json.loads(line[brace:])
+
+
+def unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of each gzip stream of a run of streams."""
+    one, parts = zlib.decompressobj(31), []
+    for piece in pieces:
+        while piece:
+            parts.append(one.decompress(piece))
+            piece = one.unused_data
+            if one.eof:
+                yield b"".join(parts)
+                one, parts = zlib.decompressobj(31), []
+    if parts:
+        raise ValueError("a compressed member ends early")
+
+
+def plain_records(file: RangeFile, at: int, size: int) -> Iterator[bytes]:
+    """The records of an uncompressed member, by their stated lengths."""
+    end = at + size
+    while at < end:
+        head, n = b"", 4096
+        while (stop := head.find(b"\r\n\r\n")) < 0:
+            if len(head) == end - at:
+                raise ValueError("a record ends early")
+            head, n = file.read(at, min(n, end - at)), 2 * n
+        length = stop + 4 + int(_fields(head[:stop])[1]["content-length"])
+        yield file.read(at, min(length, end - at))
+        at += length + 4  # two line ends close a record
+
+
+def records_in(stream: bytes) -> Iterator[bytes]:
+    """The records of one decompressed stream, one by the format, more if packed together."""
+    at = 0
+    while at < len(stream):
+        stop = stream.find(b"\r\n\r\n", at)
+        if stop < 0:
+            raise ValueError("a record ends early")
+        end = stop + 4 + int(_fields(stream[at:stop])[1]["content-length"])
+        yield stream[at:end]
+        at = end + 4  # two line ends close a record
+
+
 def read_records(uri: str) -> Iterator[dict]:
-    """Every record of one archive, by range reads along its index."""
+    """Every response, revisit and resource of one archive: by range reads along its indexes,
+    each place once; archive members that no index names are read through."""
     file = RangeFile(uri)
     members = ZipDirectory(file)
-    at, size = members.stored(INDEX)
-    base, _ = members.stored(DATA)
-    for line in file.read(at, size).decode().split("\n"):
-        if line:
-            entry = json.loads(line)
-            yield parse_record(gzip.decompress(file.read(base + entry["offset"], entry["length"])))
+    data = {n: members.stored(n) for n in members.members if n.startswith("archive/") and n.endswith((".warc", ".warc.gz"))}
+    seen: dict[str, set[int]] = {n: set() for n in data}
+    for index in (n for n in members.members if n.startswith("indexes/") and n.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz"))):
+        for entry in index_lines(file, *members.stored(index), index.endswith(".gz")):
+            if "offset" not in entry:
+                continue
+            name = entry.get("filename") or (next(iter(data)) if len(data) == 1 else "")
+            name = name if name in data else "archive/" + name
+            if name not in data:
+                raise ValueError(f"an index names {name}, which is not in the archive")
+            at = int(entry["offset"])
+            if at not in seen[name]:
+                seen[name].add(at)
+                raw = file.read(data[name][0] + at, int(entry["length"]))
+                yield parse_record(gzip.decompress(raw) if name.endswith(".gz") else raw)
+    for name in (n for n, places in seen.items() if not places):
+        streams = itertools.chain.from_iterable(records_in(x) for x in unpacked(chunks(file, *data[name]))) if name.endswith(".gz") else plain_records(file, *data[name])
+        for raw in streams:
+            if _fields(raw.partition(b"\r\n\r\n")[0])[1].get("warc-type") in KEPT_TYPES:
+                yield parse_record(raw)
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators that compare or group rows, against brute force."""
 
+import base64
+import gzip
 import hashlib
 import random
 import struct
@@ -418,6 +420,42 @@ def test_range_reads_only_what_is_asked(spark, tmp_path):
     assert pa.__version__
 
 
+def foreign_record(kind, url, payload, digest=None):
+    http = b"HTTP/1.1 200 OK\r\ncontent-type:text/html\r\n\r\n" + payload if kind != "warcinfo" else payload
+    head = f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Target-URI: {url}\r\n" + (f"WARC-Payload-Digest: {digest}\r\n" if digest else "") + f"Content-Length:{len(http)}\r\n\r\n"
+    return head.encode() + http + b"\r\n\r\n"
+
+
+def test_archives_of_others(tmp_path):
+    """Several members, CDXJ lines with keys, compressed indexes, SHA-1, an unindexed member."""
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(b"one").digest()).decode()
+    first = [gzip.compress(foreign_record("response", "http://a/", b"one", sha1)), gzip.compress(foreign_record("response", "http://b/", b"two" * 3000))]
+    plain = [foreign_record("warcinfo", "", b"software: x"), foreign_record("response", "http://c/", b"\r\n\r\nthree")]
+    alone = [gzip.compress(foreign_record("warcinfo", "", b"made by hand")), gzip.compress(foreign_record("response", "http://d/", b"four" * 100_000))]
+    loose = [foreign_record("response", f"http://e/{'x' * 5000}", b"five"), foreign_record("warcinfo", "", b"y")]
+    together = [foreign_record("response", "http://f/", b"six"), foreign_record("response", "http://g/", b"")]
+    line = lambda name, at, n: f'com,a)/ 20200101000000 {{"url": "u", "filename": "{name}", "offset": "{at}", "length": "{n}"}}'
+    index = ["!meta 0 {}", line("a.warc.gz", 0, len(first[0])), line("a.warc.gz", len(first[0]), len(first[1])), line("archive/b.warc", len(plain[0]), len(plain[1])), ""]
+    path = tmp_path / "others.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+        for name, records in (("a.warc.gz", first), ("b.warc", plain), ("c.warc.gz", alone), ("d.warc", loose), ("e.warc.gz", [gzip.compress(b"".join(together))])):
+            z.writestr(f"archive/{name}", b"".join(records))
+        z.writestr("indexes/index.cdx.gz", b"".join(gzip.compress(x.encode()) for x in ("\n".join(index[:2]) + "\n", "\n".join(index[2:]))))
+        z.writestr("indexes/again.cdxj", index[1])
+    got = [(r["url"][:9], r["payload"], r["payload_digest"]) for r in warc.read_records(str(path))]
+    want = [("http://a/", b"one"), ("http://b/", b"two" * 3000), ("http://c/", b"\r\n\r\nthree"), ("http://d/", b"four" * 100_000), ("http://e/", b"five"), ("http://f/", b"six"), ("http://g/", b"")]
+    assert sorted(got) == [(u, p, hashlib.sha256(p).hexdigest()) for u, p in want]
+    with zipfile.ZipFile(path, "a", zipfile.ZIP_STORED) as z:
+        z.writestr("indexes/wrong.cdxj", line("z.warc.gz", 0, 5))
+    with pytest.raises(ValueError):
+        list(warc.read_records(str(path)))
+    with pytest.raises(ValueError):
+        warc.parse_record(foreign_record("response", "u", b"other", sha1))
+    with pytest.raises(ValueError):
+        list(warc.unpacked(iter([first[0][:-9]])))
+
+
 def near_line(rng, x, least):
     """A line at similarity ``least`` or more to ``x``, and under 1, by edits at random places."""
     grams = lambda s: {s[i : i + 5] for i in range(len(s) - 4)}
