@@ -7,6 +7,7 @@ import re
 from .chat import END, START
 from .common import LOWER, UPPER
 from .mixing import CELL_ROWS
+from .quality import TRANSITIONS, WEIGHTS
 from .sharding import ID_BITS
 from .urlfilter import GLOBS, RULES
 
@@ -32,6 +33,35 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id"""
 
 
+def quality_sql(min_share: float = 0.5) -> str:
+    """The lines of a text are folded: of the best labelling that ends in either label, its
+    score and its content words are carried, which gives what tracing the labels back gives."""
+    word = "'[^\\x20\\x09-\\x0D]+'"
+    of = lambda chars: f"(strlen(line) - strlen(regexp_replace(line, '[{chars}]', '', 'g')))"
+    real = lambda x: f"{float(x)!r}::DOUBLE"
+    features = (
+        "1", "(n = 1)::INT", "(n <= 3)::INT", f"least(1, {real(4)} * {of('#*$%&|<>')} / size)", f"least(1, {real(2)} * {of('A-Z')} / size)", f"least(1, {real(4)} * {of('0-9')} / size)",
+        f"least(1, {of('!')}::DOUBLE / n)", "CASE WHEN n > 5 THEN 1 - len(list_distinct(ws))::DOUBLE / n ELSE 0 END", "seen::INT", "(size > 40 * n)::INT",
+    )
+    score = " + ".join(f"{real(w)} * {x}" for w, x in zip(WEIGHTS, features))
+    (bb, bc), (cb, cc) = [[real(x) for x in row] for row in TRANSITIONS]
+    to_b, to_c = f"a.b + {bb} >= a.c + {cb}", f"a.c + {cc} >= a.b + {bc}"
+    step = f"""{{'b': CASE WHEN {to_b} THEN a.b + {bb} ELSE a.c + {cb} END, 'c': CASE WHEN {to_c} THEN a.c + {cc} ELSE a.b + {bc} END + x.c,
+  'nb': CASE WHEN {to_b} THEN a.nb ELSE a.nc END, 'nc': CASE WHEN {to_c} THEN a.nc ELSE a.nb END + x.nc}}"""
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {word}) AS w FROM documents),
+g AS (SELECT rid, k, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) > 5)),
+t AS (SELECT rid, k FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+r AS (SELECT rid, count(DISTINCT place) AS n_repeat_words FROM (SELECT rid, unnest(range(k, k + 5)) AS place FROM t) GROUP BY rid),
+x AS (SELECT rid, no, string_split(text, chr(10))[no] AS line FROM (SELECT rid, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM d)),
+l AS (SELECT *, regexp_extract_all(line, {word}) AS ws, row_number() OVER (PARTITION BY rid, line ORDER BY no) > 1 AS seen FROM x WHERE regexp_matches(line, {word})),
+f AS (SELECT rid, no, seen, n, {score} AS score FROM (SELECT *, len(ws) AS n, strlen(line) AS size FROM l)),
+v AS (SELECT rid, count(*) FILTER (seen) AS n_dup_lines, list_reduce(list({{'b': 0::DOUBLE, 'c': score, 'nb': 0::BIGINT, 'nc': n}} ORDER BY no), lambda a, x: {step}) AS e FROM f GROUP BY rid),
+q AS (SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, strlen(text) - strlen(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(CASE WHEN e.c >= e.b THEN e.nc ELSE e.nb END / len(w)::DOUBLE, 0) AS content_share FROM d LEFT JOIN r USING (rid) LEFT JOIN v USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, content_share,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND content_share >= {min_share} AS kept FROM q"""
+
+
 def glob_regex(glob: str) -> str:
     return "^" + "".join(".*" if p == "**" else "[^/?]*" if p == "*" else re.escape(p) for p in re.findall(r"\*\*|\*|[^*]+", glob)) + "$"
 

@@ -80,12 +80,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Where SQL can express a query. Quality rules and the pipeline are held against brute
-    force in the tests instead."""
+    """Where SQL can express a query. The pipeline is held against a brute-force version in the
+    tests instead."""
     return {
         "op1_line_dedup": oracles.lines_sql(),
         "op2_extendible_sharding": oracles.sharding_sql(SHARD_BYTES),
         "op3_chat_formatting": oracles.chat_sql(),
+        "op4_quality_rules": oracles.quality_sql(),
         "op5_url_filter": oracles.url_sql(),
         "op6_exact_repeats": oracles.repeats_sql(),
         "op7_warc_zip": oracles.warc_sql(),

@@ -6,17 +6,18 @@ import struct
 import corpus_pipeline
 import duckdb
 import xxhash
-from graphloom.llm import oracles, quality, queries
+from graphloom.llm import oracles, queries
 
 from .cases import DOCS, documents, words
 from .test_grouped import fingerprint, union
-from .test_row_local import WORD, base_by_hand, hits_by_hand
+from .test_row_local import WORD, hits_by_hand
 
 
-def kept_by_rules(text):
-    *_, lines, seen = quality.base((text or "").encode())
-    share = quality.content_share(lines, seen, quality.WEIGHTS, quality.TRANSITIONS)
-    return not base_by_hand(text)[-1] and share >= 0.5
+def kept_by_rules(texts):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    return dict(con.execute(f"SELECT doc_id, kept FROM ({oracles.quality_sql()})").fetchall())
 
 
 def test_pipeline(spark, tmp_path, monkeypatch):
@@ -30,7 +31,8 @@ def test_pipeline(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
 
-    kept = [r for r in rows if kept_by_rules(r[1])]
+    verdict = kept_by_rules([r[1] for r in rows])
+    kept = [r for i, r in enumerate(rows) if verdict[i]]
     fps = [fingerprint(r[1]) for r in kept]
     root = union([(i, j) for i in range(len(kept)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3], range(len(kept)))
     groups = {}

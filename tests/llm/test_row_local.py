@@ -7,9 +7,10 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
-from graphloom.llm import chat, decontaminate, quality, urlfilter
+from graphloom.llm import chat, decontaminate, oracles, quality, urlfilter
 
 from .cases import DOCS, documents, same, words
 
@@ -114,6 +115,26 @@ def test_quality_base(spark):
     assert quality.kept_rows(df).count() == kept and quality.kept_rows(df).columns == df.columns
 
 
+def test_quality_against_sql(spark):
+    """Texts of content and junk lines in turn, so that shares lie between 0 and 1."""
+    rng = random.Random(8)
+    junk = [*[lambda: "".join(w + rng.choice((" ### ", " %&| ", "!!! ")) for w in words(rng, 10).split())] * 6, lambda: "Buy $$$ NOW!!! 50% ###", lambda: "&" * rng.randint(1, 9), lambda: " ".join(w + "$$$" for w in words(rng, 12).split()), lambda: "| <A> | #B |", lambda: "WOW! " * rng.randint(1, 4), lambda: " ".join(["same"] * rng.randint(6, 12)), lambda: "7 | 8 | 9", lambda: "x" * 90, lambda: "Home", lambda: " \t\x0b"]
+    rows = [(r[0], r[1]) for r in documents()]
+    for i in range(300):
+        lines = []
+        for k in range(rng.randint(1, 5)):  # blocks in turn, the junk of odd texts longer
+            bad = (k + i) % 2 == 1
+            lines += [rng.choice(junk)() if bad else words(rng, rng.randint(1, 14)) for _ in range(rng.randint(1, 25 if bad == (i % 2 == 1) else 10))]
+        rows.append((50_000 + i, "\n".join(lines)))
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    same(got.collect(), con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles.quality_sql()})").fetchall())
+    assert got.filter("content_share > 0 and content_share < 1").count() > 100
+    assert min(got.filter("not base_failed and kept").count(), got.filter("not base_failed and not kept").count()) > 30
+
+
 def test_viterbi_is_best():
     rng = np.random.default_rng(0)
     for _ in range(50):
