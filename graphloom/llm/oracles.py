@@ -188,3 +188,15 @@ root AS (SELECT i, min(root) AS root FROM reach GROUP BY i),
 p AS (SELECT doc_id, no, row_number() OVER (PARTITION BY coalesce(root, i) ORDER BY doc_id NULLS LAST, no) AS place FROM l JOIN u USING (line) LEFT JOIN root USING (i)),
 k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (place = 1) AS n_kept, string_agg(no::VARCHAR, ',' ORDER BY no) FILTER (place = 1) AS kept_lines FROM p GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, coalesce(kept_lines, '') AS kept_lines FROM documents LEFT JOIN k USING (doc_id)"""
+
+
+def pipeline_sql(limit: int) -> str:
+    """The stages in a row, each query over what the one before keeps. Ids are taken to be
+    unique, and no document to pass half a shard (the copies of one cannot be told apart here)."""
+    of = lambda sql, name: sql.replace("FROM documents", f"FROM {name}")
+    return f"""WITH good AS MATERIALIZED (SELECT * FROM documents SEMI JOIN (SELECT doc_id FROM ({quality_sql()}) WHERE kept) USING (doc_id)),
+single AS MATERIALIZED (SELECT * FROM good SEMI JOIN (SELECT doc_id FROM ({of(simhash_sql(), "good")}) WHERE doc_id = component_id) USING (doc_id)),
+clean AS MATERIALIZED (SELECT * FROM single SEMI JOIN (SELECT doc_id FROM ({of(decontamination_sql(), "single")}) WHERE NOT contaminated) USING (doc_id)),
+mixed AS MATERIALIZED (SELECT clean.* FROM (SELECT doc_id, unnest(range(n_copies)) FROM ({of(mixing_sql(), "clean")})) JOIN clean USING (doc_id)),
+place AS MATERIALIZED (SELECT doc_id, shard, shard_bytes FROM ({of(sharding_sql(limit), "mixed")}))
+SELECT mixed.*, shard, shard_bytes FROM mixed JOIN place USING (doc_id)"""
