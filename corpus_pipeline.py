@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, mixing, quality, sharding, simhash
+from graphloom.llm import decontaminate, mixing, oracles, quality, sharding, simhash
 from graphloom.llm.common import table, written
 
 SHARD_BYTES = 1 << 20
@@ -49,9 +49,9 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: The first stage decodes a conditional random field, which SQL cannot express; the tests
-#: hold the pipeline against a brute-force version.
-ORACLE_SQL = None
+#: The stages' queries nested in one another, for tables whose ids are unique; the tests also
+#: hold the pipeline against a brute-force version with null and repeated ids.
+ORACLE_SQL = oracles.pipeline_sql(SHARD_BYTES)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
