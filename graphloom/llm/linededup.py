@@ -51,7 +51,7 @@ SALT = 4
 #: Alphabets of which a shingle's code fits 64 bits.
 MOST_CHARACTERS = int(2 ** (64 / SHINGLE))
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: [r, j]: bin that comes at place r in the order of bin j, itself first; and its inverse, [bin, j].
 _ORDER = np.array([[j, *(b for b in np.random.default_rng(j + 1).permutation(BINS) if b != j)] for j in range(BINS)]).T
 _RANK = np.argsort(_ORDER, axis=0).astype(np.uint8)
