@@ -147,3 +147,44 @@ def test_dynamic_connectivity():
         a, b = rng.sample(range(25), 2)
         assert g.connected(a, b) == (find(a) == find(b))
         assert g.component_count() == len({find(x) for x in range(25)})
+
+
+def _random_lengths(seed):
+    rng = random.Random(seed)
+    ends = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(55)} | {(100, i) for i in range(101, 130)}
+    return [(u, v, rng.choice((1.0, 0.5, 2.0))) for u, v in sorted(ends)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_path_routes_agree(spark, monkeypatch, seed):
+    """In workers and as tables; sources outside of the graph reach themselves."""
+    edges = spark.createDataFrame(_random_lengths(seed), "u long, v long, len double").cache()
+    sources = edges.select(F.col("u").alias("s")).distinct().unionByName(spark.createDataFrame([(999,)], "s long"))
+    monkeypatch.setattr(paths, "GROUP", 20)
+    monkeypatch.setattr(paths, "WIDTH", 7)
+    found = []
+    for most in (paths.LOCAL_EDGES, 0):
+        monkeypatch.setattr(paths, "LOCAL_EDGES", most)
+        found.append([{tuple(r)[:2]: pytest.approx(r[2]) for r in f(edges, sources).collect()} for f in (paths.shortest_distances, paths.count_paths, paths.edge_betweenness)])
+    assert found[0] == [{k: x.expected for k, x in part.items()} for part in found[1]]
+    assert (999, 999) in found[0][0] and (999, 999) in found[0][1]
+
+
+def _jobs(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def _chain(spark):
+    """A path of 120 nodes: rounds as tables would be jobs for each of its steps."""
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(119)], "u long, v long, len double")
+    return edges, spark.createDataFrame([(0,), (60,)], "s long")
+
+
+def test_edge_betweenness_needs_few_jobs(spark):
+    edges, sources = _chain(spark)
+    got, jobs = _jobs(spark, "edge_betweenness", lambda: {r["u"]: r["bet"] for r in paths.edge_betweenness(edges, sources).collect()})
+    assert got == {i: 119 - i + (i + 1 if i < 60 else 119 - i) for i in range(119)} and jobs < 25
