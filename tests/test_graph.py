@@ -188,3 +188,11 @@ def test_edge_betweenness_needs_few_jobs(spark):
     edges, sources = _chain(spark)
     got, jobs = _jobs(spark, "edge_betweenness", lambda: {r["u"]: r["bet"] for r in paths.edge_betweenness(edges, sources).collect()})
     assert got == {i: 119 - i + (i + 1 if i < 60 else 119 - i) for i in range(119)} and jobs < 25
+
+
+def test_count_paths_needs_few_jobs(spark):
+    """A ladder of 60 squares in a row: the number of paths doubles with each."""
+    rows = [(3 * i + a, 3 * i + b, 1.0) for i in range(60) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))]
+    edges = spark.createDataFrame(rows, "u long, v long, len double")
+    got, jobs = _jobs(spark, "count_paths", lambda: {r["v"]: r["sigma"] for r in paths.count_paths(edges, spark.createDataFrame([(0,)], "s long")).collect()})
+    assert len(got) == 181 and all(got[3 * i] == 2.0**i for i in range(61)) and jobs < 25
