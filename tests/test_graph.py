@@ -196,3 +196,10 @@ def test_count_paths_needs_few_jobs(spark):
     edges = spark.createDataFrame(rows, "u long, v long, len double")
     got, jobs = _jobs(spark, "count_paths", lambda: {r["v"]: r["sigma"] for r in paths.count_paths(edges, spark.createDataFrame([(0,)], "s long")).collect()})
     assert len(got) == 181 and all(got[3 * i] == 2.0**i for i in range(61)) and jobs < 25
+
+
+def test_rank_edges_of_betweenness_needs_few_jobs(spark):
+    edges, sources = _chain(spark)
+    got, jobs = _jobs(spark, "rank_edges", lambda: [tuple(r) for r in C.rank_edges(paths.edge_betweenness(edges, sources)).orderBy("rank").collect()])
+    assert [r[0] for r in got] == sorted(range(119), key=lambda i: (-(119 - i + (i + 1 if i < 60 else 119 - i)), i)) and [r[3] for r in got] == list(range(1, 120))
+    assert jobs < 40
