@@ -203,3 +203,9 @@ def test_rank_edges_of_betweenness_needs_few_jobs(spark):
     got, jobs = _jobs(spark, "rank_edges", lambda: [tuple(r) for r in C.rank_edges(paths.edge_betweenness(edges, sources)).orderBy("rank").collect()])
     assert [r[0] for r in got] == sorted(range(119), key=lambda i: (-(119 - i + (i + 1 if i < 60 else 119 - i)), i)) and [r[3] for r in got] == list(range(1, 120))
     assert jobs < 40
+
+
+def test_shortest_distances_need_few_jobs(spark):
+    edges, sources = _chain(spark)
+    got, jobs = _jobs(spark, "shortest_distances", lambda: {(r["s"], r["v"]): r["dist"] for r in paths.shortest_distances(edges, sources).collect()})
+    assert got == {(s, v): float(abs(s - v)) for s in (0, 60) for v in range(120)} and jobs < 25
