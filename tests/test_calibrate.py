@@ -1,5 +1,6 @@
 """Pairs, one-dimensional k-means, silhouette and anchors."""
 
+import math
 import random
 
 import numpy as np
@@ -123,3 +124,43 @@ def test_calibration_of_small_graphs(spark, n):
     assert len(anchors.centers) == k and list(anchors.centers) == sorted(anchors.centers)
     assert A.calibrate(v, Config(g=2))[1] == 5 and A.calibrate(v, Config(g=5))[0].centers == ()
     assert A.calibrate(v, Config(sampling=0.3)) == A.calibrate(v, Config(sampling=0.3))
+
+
+def test_vectors_travel_to_few_blocks(spark):
+    """Traffic follows the number of blocks: 6,000 vectors of 16 numbers go to some ten, and
+    no pair is lost or twice."""
+    rng = np.random.default_rng(7)
+    z = rng.normal(size=(6000, 16))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(z)], "node long, z array<double>")
+    blocks, n = P._blocks(v, None, None)
+    assert n == math.isqrt(16 * spark.sparkContext.defaultParallelism) + 1
+    big, m = P._blocks(v, None, 500)
+    assert m == 12 and sorted(len(r["rows"]) for r in blocks.collect()) and sum(len(r["rows"]) for r in big.collect()) == 6000
+    got = P.cosine_over(v, 0.8).collect()
+    unit = z / np.linalg.norm(z, axis=1)[:, None]
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.8, 1))
+    assert sorted((r["u"], r["v"]) for r in got) == sorted(zip(i.tolist(), j.tolist()))
+
+
+def test_tiles_of_a_block_meet_once(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(90)], "node long, z array<double>")
+    run = lambda a, b, same: pa.table(dict(zip(("u", "v"), P.ends(a, b, *P.every(a, b, same)))))
+    spread = P._blocks(v, None, 90)[0].select("w", P.F.lit(0).alias("p"), P.F.lit(0).alias("q"), P.F.lit(2).alias("side"), "rows")
+    blocks = [P.Block(rows) for rows in spread.toArrow().column("rows").combine_chunks()]
+    monkeypatch.setattr(P, "BLOCK", 20)
+    pairs = [(r["u"], r["v"]) for b in blocks for out in P._tiled(b, b, True, run) for r in out.to_pylist()]
+    inside = sum(len(b) * (len(b) - 1) // 2 for b in blocks)
+    assert len(pairs) == len(set(pairs)) == inside > 0
+
+
+def test_cosines_at_the_threshold(spark):
+    """Kept or not as the sum in order says, to the last bit; zero vectors have no cosine."""
+    rng = np.random.default_rng(8)
+    z = np.vstack([rng.normal(size=(60, 8)), np.zeros((2, 8))])
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(z)], "node long, z array<double>")
+    block = object.__new__(P.Block)
+    block.node, block.z, block.columns = np.arange(62), z, {"node": np.arange(62)}
+    cos = P.cosines(block, block)
+    for least in cos[3, [7, 20, 41]].tolist():
+        i, j = np.nonzero(np.triu(cos >= least, 1))
+        assert sorted((r["u"], r["v"], r["cos"]) for r in P.cosine_over(v, least).collect()) == sorted(zip(i.tolist(), j.tolist(), cos[i, j].tolist()))
