@@ -1,11 +1,15 @@
 """Graph operators on small invented graphs."""
 
+import math
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions import shortest
 from graphloom.operators import community as C
 from graphloom.operators import graph as G
 from graphloom.operators import paths
@@ -209,3 +213,66 @@ def test_shortest_distances_need_few_jobs(spark):
     edges, sources = _chain(spark)
     got, jobs = _jobs(spark, "shortest_distances", lambda: {(r["s"], r["v"]): r["dist"] for r in paths.shortest_distances(edges, sources).collect()})
     assert got == {(s, v): float(abs(s - v)) for s in (0, 60) for v in range(120)} and jobs < 25
+
+
+def _random_links(n=4_000, m=12_000, seed=5):
+    rng = np.random.default_rng(seed)
+    u, v = np.unique(np.sort(rng.integers(0, n, (m, 2)), axis=1), axis=0).T
+    u, v = u[u != v], v[u != v]
+    return shortest.Links.of(n, u, v, 1 + rng.random(len(u)) / 2), len(u)
+
+
+def test_sweeps_go_in_blocks_that_fit_a_cache():
+    links, _ = _random_links()
+    starts = np.arange(100)
+    tracemalloc.start()
+    dist = shortest.distances(links, starts, starts, 100)
+    peak = tracemalloc.get_traced_memory()[1] - dist.nbytes
+    tracemalloc.stop()
+    assert peak < 6e6  # 24,000 links times 100 sources are 19 MB
+
+
+def test_steps_of_a_round_lie_side_by_side():
+    links, _ = _random_links()
+    starts = np.arange(100)
+    for _, part in shortest.steps(links, shortest.distances(links, starts, starts, 100)):
+        assert len(part.rounds) < 30
+        assert np.array_equal(np.concatenate([np.arange(len(part.a))[r] for r in part.rounds]), np.arange(len(part.a)))
+        last = np.full(len(part.sigma), -1)
+        for k, r in enumerate(part.rounds):
+            assert (last[part.a[r]] < k).all()
+            last[part.b[r]] = k
+
+
+@pytest.mark.parametrize("small", (1e-9, 1.0))
+def test_betweenness_of_hubs(monkeypatch, small):
+    """More links to a node than a block goes through; lengths alike and far apart."""
+    e = {(a, i): 1.0 for i in range(2, 50) for a in (0, 1)} | {(50, 51): small, (2, 50): 1.0, (51, 52): 2.0}
+    u, v = np.array(sorted(e)).T
+    links = shortest.Links.of(53, u, v, np.array([e[x] for x in sorted(e)]))
+    found = []
+    for fold, block in ((256, 50_000), (3, 60)):
+        monkeypatch.setattr(shortest, "FOLD", fold)
+        monkeypatch.setattr(shortest, "BLOCK", block)
+        found.append(np.zeros(len(u)))
+        shortest.add_betweenness(links, np.arange(53), np.arange(53), 53, found[-1])
+    near = defaultdict(dict)
+    for (a, b), x in e.items():
+        near[a][b] = near[b][a] = x
+    # each source by itself: distances by relaxing all edges until nothing changes, then paths in order of distance
+    want = defaultdict(float)
+    for s in near:
+        d = dict.fromkeys(near, math.inf) | {s: 0.0}
+        while any(d[a] + x < d[b] - 1e-12 for a in near for b, x in near[a].items()):
+            d |= {b: min([d[b], *(d[a] + x for a, x in near[b].items())]) for b in near}
+        sigma, flow, order = {s: 1.0}, defaultdict(float), sorted(near, key=d.get)
+        back = {b: [a for a, x in near[b].items() if d[a] < d[b] and abs(d[a] + x - d[b]) < 1e-12] for b in near}
+        for b in order[1:]:
+            sigma[b] = sum(sigma[a] for a in back[b])
+        for b in reversed(order[1:]):
+            for a in back[b]:
+                x = sigma[a] / sigma[b] * (1 + flow[b])
+                flow[a] += x
+                want[min(a, b), max(a, b)] += x
+    for got in found:
+        assert dict(zip(sorted(e), got.tolist())) == pytest.approx({x: want[x] for x in e})
