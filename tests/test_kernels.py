@@ -2,10 +2,12 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import registry
 from graphloom.functions import kernels as K
 from graphloom.model import Anchors, Config
 from graphloom.functions.kernels import interpolate
@@ -75,3 +77,22 @@ def test_config_is_checked():
         with pytest.raises(ValueError):
             Config(**bad)
     assert Config(g=3).mode == "nokk2m"
+
+
+def test_rounded_as_in_sql(spark):
+    rng = np.random.default_rng(4)
+    half = np.round(rng.random(2_000) * 12, 6) + 5e-7
+    xs = np.concatenate([rng.random(500) * 12, half, np.nextafter(half, 0), np.nextafter(half, 99), [0.0, 1e8, 1e9 + 1 / 3, 1e12, 1e17, math.inf]])
+    want = [r[0] for r in duckdb.sql(f"SELECT round(unnest({[str(x) for x in xs]}::DOUBLE[]), 6)").fetchall()]
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(xs)], "i int, x double")
+    got = [tuple(r) for r in df.select(K.rounded(F.col("x")), F.round("x", 6), "i").orderBy("i").collect()]
+    assert [r[0] for r in got] == want
+    assert [r[1] for r in got] != want  # by way of decimals
+
+
+def test_distances_are_rounded_without_decimals(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2, 1.0000014999999998), (2, 3, 0.5)], "u long, v long, len double")
+    monkeypatch.setattr(registry, "_t40_lengths", lambda spark, sf: edges)
+    df = registry.sssp(spark, "")
+    assert {(r["s"], r["v"]): r["dist"] for r in df.collect()} == {(s, v): round(abs(x - y), 6) for s, x in ((1, 0.0), (2, 1.000001), (3, 1.500001)) for v, y in ((1, 0.0), (2, 1.000001), (3, 1.500001))}
+    assert "round(" not in df._jdf.queryExecution().optimizedPlan().toString()
