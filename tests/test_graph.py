@@ -276,3 +276,20 @@ def test_betweenness_of_hubs(monkeypatch, small):
                 want[min(a, b), max(a, b)] += x
     for got in found:
         assert dict(zip(sorted(e), got.tolist())) == pytest.approx({x: want[x] for x in e})
+
+
+def test_links_take_twenty_bytes():
+    links, _ = _random_links()
+    assert sum(x.nbytes for x in (links.src, links.dst, links.length, links.edge)) == 20 * len(links.src)
+
+
+@pytest.fixture
+def star(spark, monkeypatch):
+    """2,100,000 edges at one node, the only source; paths as tables are refused."""
+    for name in ("swept_distances", "swept_betweenness"):
+        monkeypatch.setattr(paths, name, lambda *_: pytest.fail("swept as tables"))
+    return spark.range(1, 2_100_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"), F.lit(1.5).alias("len")), spark.createDataFrame([(0,)], "s long")
+
+
+def test_edge_betweenness_of_millions_of_edges_makes_no_tables(star):
+    assert tuple(paths.edge_betweenness(*star).agg(F.count("*"), F.min("bet"), F.max("bet"), F.sum("v")).first()) == (2_100_000, 1.0, 1.0, 2_100_000 * 2_100_001 // 2)
