@@ -293,3 +293,8 @@ def star(spark, monkeypatch):
 
 def test_edge_betweenness_of_millions_of_edges_makes_no_tables(star):
     assert tuple(paths.edge_betweenness(*star).agg(F.count("*"), F.min("bet"), F.max("bet"), F.sum("v")).first()) == (2_100_000, 1.0, 1.0, 2_100_000 * 2_100_001 // 2)
+
+
+def test_rank_edges_of_millions_of_edges_makes_no_tables(star):
+    got = C.rank_edges(paths.edge_betweenness(*star)).agg(F.count("*"), F.max("rank"), F.count_if(F.col("v") == F.col("rank"))).first()
+    assert tuple(got) == (2_100_000,) * 3
