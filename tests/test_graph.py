@@ -298,3 +298,7 @@ def test_edge_betweenness_of_millions_of_edges_makes_no_tables(star):
 def test_rank_edges_of_millions_of_edges_makes_no_tables(star):
     got = C.rank_edges(paths.edge_betweenness(*star)).agg(F.count("*"), F.max("rank"), F.count_if(F.col("v") == F.col("rank"))).first()
     assert tuple(got) == (2_100_000,) * 3
+
+
+def test_distances_over_millions_of_edges_make_no_tables(star):
+    assert tuple(paths.shortest_distances(*star).agg(F.count("*"), F.sum("dist")).first()) == (2_100_001, 3_150_000.0)
