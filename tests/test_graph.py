@@ -302,3 +302,7 @@ def test_rank_edges_of_millions_of_edges_makes_no_tables(star):
 
 def test_distances_over_millions_of_edges_make_no_tables(star):
     assert tuple(paths.shortest_distances(*star).agg(F.count("*"), F.sum("dist")).first()) == (2_100_001, 3_150_000.0)
+
+
+def test_counts_over_millions_of_edges_make_no_tables(star):
+    assert tuple(paths.count_paths(*star).agg(F.count("*"), F.sum("sigma")).first()) == (2_100_001, 2_100_001.0)
