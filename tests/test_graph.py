@@ -306,3 +306,18 @@ def test_distances_over_millions_of_edges_make_no_tables(star):
 
 def test_counts_over_millions_of_edges_make_no_tables(star):
     assert tuple(paths.count_paths(*star).agg(F.count("*"), F.sum("sigma")).first()) == (2_100_001, 2_100_001.0)
+
+
+@pytest.mark.parametrize("phi", ("cosine", "pearson", "sigmoid"))
+def test_similarities_by_blocks_are_those_of_the_join(spark, monkeypatch, phi):
+    """Bit for bit for cosine and Pearson; a zero vector, loops, ends that are null or have no vector."""
+    rng = random.Random(7)
+    z = spark.createDataFrame([(i, [rng.gauss(0, 1) if i else 0.0 for _ in range(9)]) for i in range(700)], "node long, z array<double>")
+    ends = [(rng.randrange(720), rng.randrange(720), rng.random()) for _ in range(3000)] + [(5, 5, 1.0), (0, 0, 2.0), (None, 1, 1.0), (2, None, 1.0)]
+    adj = G.symmetrize(spark.createDataFrame(ends, EDGES)).cache()
+    joined = rows(G.reweight(adj, z, phi))
+    monkeypatch.setattr(G, "JOINED", 0)
+    blocks = G.reweight(adj, z, phi)
+    assert "FlatMapCoGroupsInArrow" in blocks._jdf.queryExecution().toString()
+    got = rows(blocks)
+    assert got == joined if phi != "sigmoid" else all(a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-15) for a, b in zip(got, joined, strict=True))
